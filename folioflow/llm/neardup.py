@@ -3,11 +3,11 @@
 Plan: documents with the same shingle set collapse to one row (hash aggregate). For each
 set, ``SAMPLES`` MinHash values give ``BANDS`` band keys and are folded into a parity bitmap
 (the odd sketch): sample i flips one bit, so the XOR of two bitmaps counts the samples that
-differ. Every bucket of a band first tests its members against its smallest member only (a
-star, linear in the bucket). Components of the confirmed links are found, and only buckets
-that still hold more than one component look further: there the remaining pairs across
-components are tried in blocks, bitmap against bitmap, and only pairs that the bitmaps
-cannot rule out are emitted. Each emitted pair is confirmed on the full shingle sets.
+differ. Every bucket of a band first tests its members against two of them only (stars,
+linear in the bucket): bitmaps rule out most pairs, full shingle sets confirm the rest.
+Buckets whose members are then still in several components try the pairs across these
+components, in cells of at most ``BLOCK`` by ``BLOCK`` members, with the sets at hand, and
+emit links only. So no step emits the pairs of a group, and no link is skipped.
 
 Miss probability for a pair at similarity 0.75: (1 - 0.75**4)**40 = 2.5e-7 for the bands;
 the bitmap rejects only estimates below ``REJECT``, six standard deviations under 0.75.
@@ -132,7 +132,7 @@ def _plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np
 def _filter_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            ok = _plausible(_sketches(batch.column("sa")), _sketches(batch.column("sb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            ok = _plausible(_sketches(batch.column("signature_a")), _sketches(batch.column("signature_b")), batch.column("n_shingles_a").to_numpy(), batch.column("n_shingles_b").to_numpy())
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
@@ -154,20 +154,43 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across components inside each cell, tried on the full sets.
+
+    A pair is tried in the first band that it shares, so once in all. Components that a link
+    joins count as one for the rest of the cell, so at most one link a member comes out.
+    """
+    unpack = zstandard.ZstdDecompressor()
     for group in _groups(batches, "cell"):
-        node, comp, n, side = (group.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "n_shingles", "side"))
-        bits, center = _sketches(group.column("sketch")), group.column("center")[0].as_py()
+        node, comp, n, side = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("node", "component", "n_shingles", "side"))
+        data, _ = raw(group.column("signature"))
+        data = data.reshape(len(node), -1)
+        keys, bits = np.ascontiguousarray(data[:, : BANDS * 8]).view(np.int64), np.ascontiguousarray(data[:, BANDS * 8 :]).view(np.uint64)
+        band = int(np.flatnonzero(keys[0] == group.column("band")[0].as_py())[0])
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                text = np.frombuffer(unpack.decompress(group.column("packed")[k].as_py()), np.uint8)  # noqa: B023
+                sets[k] = shingle_sets(Words(text, np.array([0, len(text)]), WHITE, lower=True))[0]  # noqa: B023
+            return sets[k]  # noqa: B023
+
         rows, cols = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
         for r in rows.tolist():
-            if node[r] == center:
-                continue
-            c = cols[(comp[cols] != comp[r]) & (node[cols] != center)]
+            c = cols[comp[cols] != comp[r]]
             if side[r] == 0:
                 c = c[node[c] > node[r]]
-            c = c[_plausible(bits[c], bits[r][None, :], n[c], n[r])]
-            if len(c):
-                x = np.full(len(c), node[r])
-                yield pa.record_batch({"a": pa.array(np.minimum(x, node[c])), "b": pa.array(np.maximum(x, node[c]))})
+            c = c[(100 * np.minimum(n[c], n[r]) >= 75 * np.maximum(n[c], n[r]))]
+            c = c[~(keys[c, :band] == keys[r, :band]).any(1)]
+            z = np.bitwise_count(bits[c] ^ bits[r]).sum(1)
+            keep = estimate(z) >= REJECT
+            for k in c[keep][np.argsort(z[keep], kind="stable")].tolist():
+                if comp[k] == comp[r]:
+                    continue
+                x, y = of(r), of(k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    comp[comp == comp[k]] = comp[r]
+                    yield pa.record_batch({"a": pa.array([min(node[r], node[k])]), "b": pa.array([max(node[r], node[k])])})
 
 
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +213,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("ta"), batch.column("tb")):
+        for x, y in zip(batch.column("packed_a"), batch.column("packed_b")):
             x, y = of(x.as_py()), of(y.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= 75 * (len(x) + len(y) - both))
@@ -214,39 +237,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("m.doc_id").alias("node"), F.col("m.text_hash").alias("text_hash"), "n_shingles", "signature", "k1", "k2")
     )
     rows = reps.select("node", "signature").mapInArrow(_bands, "band long, node long")
-    buckets = rows.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("size")).filter("size > 1")
-    members = durable(rows.join(buckets, "band"))
-    sketch = reps.select("node", "n_shingles", F.col("signature").alias("sketch"))
+    buckets = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), "node")).alias("c"), F.count("*").alias("size")).filter("size > 1")
+    members = durable(rows.join(buckets.select("band", F.col("c.node").alias("center"), "size"), "band"))
+    sketch = reps.select("node", "n_shingles", "signature")
+    needed = reps.select("node", "text_hash").join(members.select("node").distinct(), "node")
+    packed = source.mapInArrow(_pack_texts, "node long, text_hash long, packed binary").join(needed, ["node", "text_hash"], "left_semi")
+    texts = durable(packed.dropDuplicates(["node", "text_hash"]).select("node", "packed"))
+
+    def side(name: str, table: DataFrame) -> DataFrame:
+        return table.select(*(F.col(c).alias({"node": name}.get(c, f"{c}_{name}")) for c in table.columns))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        a = reps.select(F.col("node").alias("a"), F.col("text_hash").alias("ha"))
-        b = reps.select(F.col("node").alias("b"), F.col("text_hash").alias("hb"))
-        pairs = pairs.join(a, "a").join(b, "b")
-        needed = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ha").alias("text_hash")), F.struct(F.col("b").alias("node"), F.col("hb").alias("text_hash")))).alias("x")).select("x.*").distinct()
-        texts = source.mapInArrow(_pack_texts, "node long, text_hash long, packed binary").join(needed, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"])
-        texts = durable(texts.select("node", "packed"))
-        joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("tb")), "b")
-        return joined.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
-
-    star = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sketch.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-    links = durable(confirm(durable(star.mapInArrow(_filter_pairs, "a long, b long"))))
+        """The pairs (a, b) that are links: sketches first, then full sets of the rest."""
+        pairs = pairs.distinct().join(side("a", sketch), "a").join(side("b", sketch), "b").mapInArrow(_filter_pairs, "a long, b long")
+        return durable(pairs.join(side("a", texts), "a").join(side("b", texts), "b").mapInArrow(_confirm, "a long, b long"))
+
+    # Two stars a bucket, around members drawn by a hash, so that bands differ in their centers.
+    links = confirm(members.filter("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")))
+    named = members.filter("size > 2").join(components(links), "node", "left").select("band", "size", "node", F.coalesce("component", "node").alias("component"))
+    again = named.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node", "component")).alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    star = named.join(again.select("band", F.col("c.node").alias("center"), F.col("c.component").alias("of")), "band").filter("component <> of")
+    links = links.unionByName(confirm(star.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))))
     labels = components(links)
 
-    # Buckets whose members are still in several components, other than the pairs just tried.
-    named = members.filter("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Buckets that still hold several components try the pairs across them, in blocks.
+    named = members.filter("size > 2").join(labels, "node", "left").select("band", "size", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band")
-    left = durable(named.join(mixed, "band").join(sketch, "node").select("band", "center", "size", "node", "component", "n_shingles", "sketch"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = named.join(mixed, "band").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "center", "node", "component", "n_shingles", "sketch",
+        F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "band", "node", "component",
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    more = cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_within, "a long, b long").distinct()
-    links2 = durable(confirm(durable(more)))
-    if not links2.isEmpty():
-        labels = components(links.unionByName(links2))
+    more = cells.join(sketch, "node").join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_within, "a long, b long")
+    more = durable(more.distinct())
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     final = reps.select("k1", "k2", "n_shingles", "node").join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = sets.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"], "left")
