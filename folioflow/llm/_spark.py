@@ -5,26 +5,38 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = _OWN.get(spark.sparkContext.applicationId)
+    if folder is None:
+        folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    return folder
+
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage there.
+    """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is used.
+    A lost executor costs no recomputation of what was written. The files go when the
+    session's file systems close.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="folioflow-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = f"{shared_folder(spark)}/folioflow-{uuid.uuid4().hex}"
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, neardup
+from folioflow.llm import chat, decontaminate, neardup, packing, substring
 from folioflow.llm._spark import read
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL_OP4 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, sha256(array_to_string(w[s:s+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM w WHERE len(w) >= 50)),
+least_ AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+cut AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN least_ USING (h) WHERE m < doc_id),
+gone AS (SELECT doc_id, list(i) AS g FROM cut GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(g, i)], ' ') END) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
+"""
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -56,5 +77,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, d.doc_
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id
 """
 
-QUERIES = {"op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
-ORACLES = {"op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    cut = packing.pieces(docs, tokenizer_path())
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+ORACLES = {"op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
