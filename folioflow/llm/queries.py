@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, neardup, packing, substring
-from folioflow.llm._spark import read
+from folioflow.llm import chat, decontaminate, lm, neardup, packing, substring
+from folioflow.llm._spark import read, remainder
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
 """
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -92,5 +96,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+QUERIES = {"op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
 ORACLES = {"op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
