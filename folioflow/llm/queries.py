@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, lm, neardup, packing, substring
+from folioflow.llm import chat, decontaminate, lm, neardup, packing, quality, substring, toxicity
 from folioflow.llm._spark import read, remainder
 
 
+def labels_of(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("y"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "quality"), remainder(F.col("doc_id"), 5) == 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), labels_of(spark, sf_dir, "toxic"), remainder(F.col("doc_id"), 3) == 1)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -96,5 +108,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+QUERIES = {"op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
 ORACLES = {"op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
