@@ -219,9 +219,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "key", "content")).alias("wanted"))
     )
     packed = source.mapInArrow(_pack, "doc_id long, text_hash long, packed binary")
-    windows = packed.join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long").distinct()
+    windows = packed.join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long")
     smallest = windows.groupBy("key", "w").agg(F.min("m").alias("g"), F.max("m").alias("h")).filter("g < h").select("key", "w", "g")
-    hits = windows.join(smallest, ["key", "w"]).filter("g < m").groupBy("key", "content").agg(F.collect_list("i").alias("hits"))
+    hits = windows.join(smallest, ["key", "w"]).filter("g < m").groupBy("key", "content").agg(F.collect_set("i").alias("hits"))
     # A variant matters where a later document has it too, or where earlier ones share some of its windows.
     active = durable(variants.join(hits, ["key", "content"], "left").filter("m < last or hits is not null").select("key", "content", "m", "hits"))
     cuts = (
