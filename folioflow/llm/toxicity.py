@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and word beginnings of 3 to 8 bytes (inflected and compounded
 forms share a beginning). The vocabulary is the terms that labelled documents show to go
-with toxicity (chi-square), at most ``VOCABULARY``; counted over the sample on the cluster.
+with toxicity (chi-square, and a share of toxic rows), at most ``VOCABULARY``; counted over the sample on the cluster.
 Examples are at most ``SAMPLE`` labelled rows as TF-IDF vectors over these terms.
 
 The index keeps postings in blocks of ``BLOCK`` examples with the largest weight of every
@@ -29,6 +29,8 @@ SAMPLE = 6_000
 VOCABULARY = 1_024
 CHI_SQUARE = 40.0
 LEAST = 5
+#: Toxic rows with a term, for each other row with it.
+PURITY = 3
 PREFIXES = range(3, 9)
 BLOCK = 64
 NEIGHBOURS = 15
@@ -82,7 +84,7 @@ class Index(NamedTuple):
     ids: np.ndarray
     #: Largest weight per (block, term).
     top: np.ndarray
-    #: Probability for documents without any term, and the isotonic steps for the others.
+    #: Probability for documents without any term, and the isotonic levels for the others.
     without: float
     steps: tuple[np.ndarray, np.ndarray]
 
@@ -126,16 +128,20 @@ def votes(cosine: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the non-decreasing least-squares fit, each drawn to one half by two observations."""
+    """Mean x and smoothed level of each block of the non-decreasing least-squares fit.
+
+    Between blocks the probability runs straight from one level to the next.
+    """
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []
     for a, b in zip(x[order].tolist(), y[order].tolist()):
         blocks.append([a, b, 1])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            _, s, n = blocks.pop()
+            total, s, n = blocks.pop()
+            blocks[-1][0] += total
             blocks[-1][1] += s
             blocks[-1][2] += n
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 1) / (b[2] + 2) for b in blocks])
+    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
 
 
 def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Index | None:
@@ -147,7 +153,7 @@ def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     seen = rows.mapInArrow(_document_counts, "term long, toxic long, df long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("df").alias("df"))
     a, b, c, d = F.col("a"), F.col("df") - F.col("a"), toxic - F.col("a"), (n - toxic) - (F.col("df") - F.col("a"))
     chi = n * F.pow((a * d - b * c).cast("double"), 2) / F.greatest((a + b).cast("double") * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    chosen = seen.filter((a >= LEAST) & (a * (n - toxic) > 3 * b * toxic)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
+    chosen = seen.filter((a >= LEAST) & (a >= PURITY * b) & (a * (n - toxic) > 3 * b * toxic)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
     got = chosen.orderBy(F.col("chi").desc(), "term").limit(VOCABULARY).select("term", "df").toArrow()
     vocabulary, df = got.column("term").to_numpy().view(np.uint64), got.column("df").to_numpy()
     order = np.argsort(vocabulary)
@@ -183,8 +189,7 @@ def _score(batches: Batches, index: Index | None) -> Batches:
                 group = some[s : s + 512]
                 cosine, row = nearest(weigh(local[pick] - s, term[pick], count[pick], index.idf, len(group)), index, NEIGHBOURS)
                 raw = votes(cosine, row, index.y)
-                at = np.clip(np.searchsorted(index.steps[0], raw, "right") - 1, 0, len(index.steps[0]) - 1)
-                score[group] = index.steps[1][at]
+                score[group] = np.interp(raw, *index.steps)
                 for g, r in zip(group.tolist(), row[:, :3].tolist()):
                     near[g] = [int(index.ids[i]) for i in r if i >= 0]
         yield pa.record_batch({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "score": pa.array(score), "evidence": pa.array(near, pa.list_(pa.int64()))})
