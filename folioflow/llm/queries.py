@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, lm, neardup, packing, quality, substring, toxicity
+from folioflow.llm import chat, decontaminate, lm, neardup, packing, quality, substring, topk, toxicity
 from folioflow.llm._spark import read, remainder
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", topk.integral(F.col("embedding"), 1024).alias("v"))
+    return topk.top_k(rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows)
+
+
+SQL_OP1 = """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def labels_of(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select("doc_id", F.col(column).alias("y"))
 
@@ -108,5 +125,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
-ORACLES = {"op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
+QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+ORACLES = {"op1_exact_topk": SQL_OP1, "op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
