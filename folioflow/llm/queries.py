@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, lm, neardup, packing, quality, substring, topk, toxicity
+from folioflow.llm import chat, decontaminate, license_scan, lm, neardup, packing, quality, substring, topk, toxicity
 from folioflow.llm._spark import read, remainder
 
 
@@ -89,6 +89,12 @@ FROM s GROUP BY conv_id
 """
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base_labels", F.transform("matches", lambda m: m["label"])))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -125,5 +131,5 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op1_exact_topk": op1_exact_topk, "op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+QUERIES = {"op8_license_scan": op8_license_scan, "op1_exact_topk": op1_exact_topk, "op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
 ORACLES = {"op1_exact_topk": SQL_OP1, "op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}
