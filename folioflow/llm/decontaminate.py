@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._spark import durable
 from folioflow.llm._text import NOT_ALNUM, Words, chunks, mix, prefix_sums, raw, span_hash
 
 #: Word positions that a seed reads.
@@ -104,36 +103,49 @@ def overlap(same: np.ndarray, whole: int) -> tuple[int, int, int] | None:
     return None
 
 
+def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[int, ...]]:
+    """(document, item) -> (matched, -start, length) of the best overlap, for a chunk."""
+    w = Words(data, offsets, NOT_ALNUM, lower=True)
+    h, doc, first = w.hashes(), w.doc, w.first
+    stop = first[1:][doc]
+    place, diagonal, item = [], [], []
+    for m, mask in enumerate(MASKS):
+        at = np.flatnonzero(np.arange(len(h)) + mask[-1] < stop)
+        hit, entry = index.find(seed(h, at, m))
+        place.append(doc[at[hit]])
+        diagonal.append(at[hit] - index.at[entry])
+        item.append(index.item[entry])
+    prefix = prefix_sums(h) if index.short else None
+    for n in index.short:
+        at = np.flatnonzero(np.arange(len(h)) + n <= stop)
+        hit, entry = index.find(span_hash(prefix, at, at + n))
+        ok = index.count[index.item[entry]] == n
+        place.append(doc[at[hit[ok]]])
+        diagonal.append(at[hit[ok]])
+        item.append(index.item[entry[ok]])
+    triples = np.unique(np.stack([np.concatenate(place), np.concatenate(item), np.concatenate(diagonal)], 1), axis=0)
+    best: dict[tuple[int, int], tuple[int, ...]] = {}
+    for d, i, o in triples.tolist():
+        lo, hi = max(o, int(first[d])), min(o + int(index.count[i]), int(first[d + 1]))
+        same = h[lo:hi] == index.h[index.first[i] + lo - o : index.first[i] + hi - o]
+        found = overlap(same, int(index.count[i]))
+        if found is not None:
+            s, n, matched = found
+            row = (matched, -(lo + s - int(first[d])), n)
+            best[d, i] = max(best.get((d, i), row), row)
+    return best
+
+
+def _keep(batches: Iterator[pa.RecordBatch], text: str, index: Index) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in chunks(batches, text):
+        keep = np.ones(rows.num_rows, bool)
+        keep[[d for d, _ in _leaks(data, offsets, index)]] = False
+        yield rows.filter(pa.array(keep))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in chunks(batches):
-        w = Words(data, offsets, NOT_ALNUM, lower=True)
-        h, doc, first = w.hashes(), w.doc, w.first
-        stop = first[1:][doc]
-        place, diagonal, item = [], [], []
-        for m, mask in enumerate(MASKS):
-            at = np.flatnonzero(np.arange(len(h)) + mask[-1] < stop)
-            hit, entry = index.find(seed(h, at, m))
-            place.append(doc[at[hit]])
-            diagonal.append(at[hit] - index.at[entry])
-            item.append(index.item[entry])
-        prefix = prefix_sums(h) if index.short else None
-        for n in index.short:
-            at = np.flatnonzero(np.arange(len(h)) + n <= stop)
-            hit, entry = index.find(span_hash(prefix, at, at + n))
-            ok = index.count[index.item[entry]] == n
-            place.append(doc[at[hit[ok]]])
-            diagonal.append(at[hit[ok]])
-            item.append(index.item[entry[ok]])
-        triples = np.unique(np.stack([np.concatenate(place), np.concatenate(item), np.concatenate(diagonal)], 1), axis=0)
-        best: dict[tuple[int, int], tuple[int, ...]] = {}
-        for d, i, o in triples.tolist():
-            lo, hi = max(o, int(first[d])), min(o + int(index.count[i]), int(first[d + 1]))
-            same = h[lo:hi] == index.h[index.first[i] + lo - o : index.first[i] + hi - o]
-            found = overlap(same, int(index.count[i]))
-            if found is not None:
-                s, n, matched = found
-                row = (matched, -(lo + s - int(first[d])), n)
-                best[d, i] = max(best.get((d, i), row), row)
+        best = _leaks(data, offsets, index)
         if best:
             ids = rows.column("doc_id").take(pa.array([d for d, _ in best]))
             got = list(best.values())
@@ -155,27 +167,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id, match nothing; documents with a null id are reported with it. Repeated rows repeat.
     Extra columns are ignored. Without documents or items the result is empty.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = [source.mapInArrow(lambda b, s=shared: _scan(b, Index(*s.value)), SCHEMA) for shared in _blocks(benchmark, item_col)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that leak no item; no row is moved."""
+    for shared in _blocks(benchmark, item_col):
+        docs = docs.mapInArrow(lambda b, s=shared: _keep(b, text_col, Index(*s.value)), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str) -> list:
+    """Broadcast ids, word hashes and offsets of the items, at most about BLOCK_WORDS words each."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    # Blocks of whole items: at most BLOCK_WORDS words each by their lengths (a word takes two characters or more).
+    # A word takes two characters or more with what separates it.
     size = (items.select(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 2
     blocks = int(size // BLOCK_WORDS) + 1
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    found = []
+    out = []
     for block in range(blocks):
         rows = dealt.filter(F.col("block") == block).orderBy("item_id", "text").select("item_id", "text").toArrow()
         if rows.num_rows:
             data, offsets = raw(rows.column("text"))
             w = Words(data, offsets, NOT_ALNUM, lower=True)
-            shared = spark.sparkContext.broadcast((rows.column("item_id").to_numpy(), w.hashes(), w.first))
-            found.append(source.mapInArrow(lambda b, s=shared: _scan(b, Index(*s.value)), SCHEMA))
-    if not found:
-        return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, found)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that leak no item; rows with a null id stay."""
-    leaks = durable(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+            out.append(benchmark.sparkSession.sparkContext.broadcast((rows.column("item_id").to_numpy(), w.hashes(), w.first)))
+    return out

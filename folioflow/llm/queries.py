@@ -131,5 +131,23 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op8_license_scan": op8_license_scan, "op1_exact_topk": op1_exact_topk, "op2_quality": op2_quality, "op6_toxicity": op6_toxicity, "op5_lm_score": op5_lm_score, "op3_decontaminate": op3_decontaminate, "op10_best_fit_packing": op10_best_fit_packing, "op4_substring_dedup": op4_substring_dedup, "op7_chat_format": op7_chat_format, "op9_near_duplicates": op9_near_duplicates}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_score": op5_lm_score,
+    "op6_toxicity": op6_toxicity,
+    "op7_chat_format": op7_chat_format,
+    "op8_license_scan": op8_license_scan,
+    "op9_near_duplicates": op9_near_duplicates,
+    "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": pipeline,
+}
 ORACLES = {"op1_exact_topk": SQL_OP1, "op4_substring_dedup": SQL_OP4, "op7_chat_format": SQL_OP7, "op9_near_duplicates": SQL_OP9}

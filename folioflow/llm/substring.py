@@ -148,7 +148,7 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for rows, data, offsets in chunks(batches):
-        yield pa.record_batch({"doc_id": rows.column("doc_id"), "text_hash": rows.column("text_hash"), "packed": pa.array([pack.compress(data[s:e]) for s, e in zip(offsets, offsets[1:])], pa.binary())})
+        yield pa.record_batch({"doc_id": rows.column("doc_id"), "text_hash": rows.column("text_hash"), "extra": rows.column("extra"), "packed": pa.array([pack.compress(data[s:e]) for s, e in zip(offsets, offsets[1:])], pa.binary())})
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             })
 
 
-def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], window: int, rejoin: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -186,29 +186,34 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
                 kept = np.flatnonzero(~gone)
                 raw = data.tobytes()
-                texts.append(b" ".join([raw[s:e] for s, e in zip(w.start[kept].tolist(), w.end[kept].tolist())]).decode("utf-8"))
+                if rejoin or gone.any():
+                    raw = b" ".join([raw[s:e] for s, e in zip(w.start[kept].tolist(), w.end[kept].tolist())])
+                texts.append(raw.decode("utf-8"))
                 n_words.append(total)
                 n_removed.append(int(gone.sum()))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge])
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(texts, pa.string()),
+                "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "extra": part.column("extra"), "kept_text": pa.array(texts, pa.string()),
                 "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             })
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_removed, kept_text, removed) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+    """(doc_id, text_hash, n_words, n_removed, extra, kept_text, removed) for every row of ``docs``.
 
     A word goes when some window of ``window`` consecutive words that covers it has the same
     words as a window of a document with a smaller id. Windows are judged on the input. Words
     are separated by white space and compared unchanged; kept words are joined by one space.
     ``removed`` lists word spans [start, end). Null and empty texts have no words. Rows with a
     null id take no part and keep all words. Rows that repeat an id are one document where
-    ids are compared, and each is returned. Extra columns are ignored; an empty table gives
-    no rows. ``text_hash`` tells rows with one id and different texts apart.
+    ids are compared, and each is returned. An empty table gives no
+    rows. ``text_hash`` tells rows with one id and different texts apart. ``extra`` is a
+    struct of the columns named in ``carry``; other columns are ignored. With ``rejoin`` false
+    a text that loses nothing stays as it is.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    occurrences = durable(source.filter("doc_id is not null").mapInArrow(lambda b: _segments(b, window), "doc_id long, text_hash long, at int, n int, key long, content long"))
+    extra = F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), extra.alias("extra")).withColumn("text_hash", F.xxhash64("text"))
+    occurrences = durable(source.filter("doc_id is not null").select("doc_id", "text", "text_hash").mapInArrow(lambda b: _segments(b, window), "doc_id long, text_hash long, at int, n int, key long, content long"))
     variants = durable(
         occurrences.groupBy("key", "content").agg(F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("rep"), F.max("doc_id").alias("last"))
         .select("key", "content", "rep", F.col("rep.doc_id").alias("m"), "last")
@@ -218,8 +223,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         variants.join(several, "key", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
         .agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "key", "content")).alias("wanted"))
     )
-    packed = source.mapInArrow(_pack, "doc_id long, text_hash long, packed binary")
-    windows = packed.join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long")
+    kind = source.schema["extra"].dataType.simpleString()
+    packed = source.mapInArrow(_pack, f"doc_id long, text_hash long, extra {kind}, packed binary")
+    windows = packed.drop("extra").join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long")
     smallest = windows.groupBy("key", "w").agg(F.min("m").alias("g"), F.max("m").alias("h")).filter("g < h").select("key", "w", "g")
     hits = windows.join(smallest, ["key", "w"]).filter("g < m").groupBy("key", "content").agg(F.collect_set("i").alias("hits"))
     # A variant matters where a later document has it too, or where earlier ones share some of its windows.
@@ -230,5 +236,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("doc_id", "text_hash").agg(F.collect_set("cut").alias("cuts"))
     )
     return packed.join(cuts, ["doc_id", "text_hash"], "left").mapInArrow(
-        lambda b: _apply(b, window), "doc_id long, text_hash long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+        lambda b: _apply(b, window, rejoin), f"doc_id long, text_hash long, n_words long, n_removed long, extra {kind}, kept_text string, removed array<struct<start:long,end:long>>"
     )

@@ -34,6 +34,7 @@ PURITY = 3
 PREFIXES = range(3, 9)
 BLOCK = 64
 NEIGHBOURS = 15
+THRESHOLD = 0.7
 
 
 def terms(data: np.ndarray, offsets: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,25 +179,41 @@ def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     return index._replace(steps=isotonic(left_out, y))
 
 
+def rate(data: np.ndarray, offsets: np.ndarray, index: Index | None) -> tuple[np.ndarray, list[list[int]]]:
+    """Scores and evidence of a chunk's documents."""
+    n = len(offsets) - 1
+    score, near = np.full(n, 0.5 if index is None else index.without), [[]] * n
+    if index is not None and len(index.y):
+        doc, term, count = terms(data, offsets, index.vocabulary)
+        some, local = np.unique(doc, return_inverse=True)
+        for s in range(0, len(some), 512):
+            pick = (local >= s) & (local < s + 512)
+            group = some[s : s + 512]
+            cosine, row = nearest(weigh(local[pick] - s, term[pick], count[pick], index.idf, len(group)), index, NEIGHBOURS)
+            score[group] = np.interp(votes(cosine, row, index.y), *index.steps)
+            for g, r in zip(group.tolist(), row[:, :3].tolist()):
+                near[g] = [int(index.ids[i]) for i in r if i >= 0]
+    return score, near
+
+
 def _score(batches: Batches, index: Index | None) -> Batches:
     for rows, data, offsets in chunks(batches):
-        n = rows.num_rows
-        score, near = np.full(n, 0.5 if index is None else index.without), [[]] * n
-        if index is not None and len(index.y):
-            doc, term, count = terms(data, offsets, index.vocabulary)
-            some, local = np.unique(doc, return_inverse=True)
-            for s in range(0, len(some), 512):
-                pick = (local >= s) & (local < s + 512)
-                group = some[s : s + 512]
-                cosine, row = nearest(weigh(local[pick] - s, term[pick], count[pick], index.idf, len(group)), index, NEIGHBOURS)
-                raw = votes(cosine, row, index.y)
-                score[group] = np.interp(raw, *index.steps)
-                for g, r in zip(group.tolist(), row[:, :3].tolist()):
-                    near[g] = [int(index.ids[i]) for i in r if i >= 0]
+        score, near = rate(data, offsets, index)
         yield pa.record_batch({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "score": pa.array(score), "evidence": pa.array(near, pa.list_(pa.int64()))})
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def _keep(batches: Batches, text: str, index: Index | None, threshold: float) -> Batches:
+    for rows, data, offsets in chunks(batches, text):
+        yield rows.filter(pa.array(rate(data, offsets, index)[0] < threshold))
+
+
+def clean(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``; no row is moved."""
+    index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, ~held_out, sample))
+    return docs.mapInArrow(lambda b: _keep(b, "text", index.value, threshold), docs.schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs`` (doc_id, text).
 
     ``labels`` has doc_id and y (0 or 1). Labels are learned from where ``held_out``, an
