@@ -32,7 +32,7 @@ BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
 REJECT = 0.45
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
