@@ -28,7 +28,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
     A lost executor costs no recomputation of what was written. The files go when the
-    session's file systems close.
+    session's file systems close. Shuffle files behind ``df`` are of no use any more; a
+    collection on the driver lets Spark's cleaner find their plans dead and delete them, so
+    that a chain of steps does not pile them up on the executors' disks.
     """
     spark = df.sparkSession
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
@@ -36,6 +38,7 @@ def durable(df: DataFrame) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.option("compression", "zstd").parquet(at)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(at)
 
 

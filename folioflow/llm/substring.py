@@ -219,13 +219,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("key", "content", "rep", F.col("rep.doc_id").alias("m"), "last")
     )
     several = variants.groupBy("key").agg(F.count("*").alias("c"), F.min("m").alias("m0"), F.max("last").alias("m1")).filter("c > 1 and m0 < m1").select("key")
-    wanted = (
+    wanted = durable(
         variants.join(several, "key", "left_semi").groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
         .agg(F.collect_list(F.struct(F.col("rep.at").alias("at"), F.col("rep.n").alias("n"), "key", "content")).alias("wanted"))
     )
     kind = source.schema["extra"].dataType.simpleString()
     packed = source.mapInArrow(_pack, f"doc_id long, text_hash long, extra {kind}, packed binary")
-    windows = packed.drop("extra").join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long")
+    windows = durable(packed.drop("extra").join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long"))
     smallest = windows.groupBy("key", "w").agg(F.min("m").alias("g"), F.max("m").alias("h")).filter("g < h").select("key", "w", "g")
     hits = windows.join(smallest, ["key", "w"]).filter("g < m").groupBy("key", "content").agg(F.collect_set("i").alias("hits"))
     # A variant matters where a later document has it too, or where earlier ones share some of its windows.
