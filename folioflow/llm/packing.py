@@ -8,7 +8,8 @@ pieces is spread like any other.
 
 The solver builds sequences around the largest piece left. It enumerates fillings of the
 rest in which no piece could be swapped for a larger one that is left (undominated), in
-order of waste, and applies the same filling as often as counts allow. Branches whose waste
+order of waste, and applies the same filling as often as counts allow, or half as often, or
+once. Branches whose waste
 shows that they cannot beat the incumbent are cut; best-fit decreasing is the first
 incumbent, and meeting the lower bound ends the search.
 """
@@ -167,9 +168,10 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
             for waste, pieces in reversed(options):
                 content = (top, *pieces)
                 need = Counter(content)
-                times = min(left[n] // k for n, k in need.items())
-                after = {n: c - times * need.get(n, 0) for n, c in left.items()}
-                stack.append(({n: c for n, c in after.items() if c}, [*plan, (content, times)], used + times, wasted + waste * times))
+                most = min(left[n] // k for n, k in need.items())
+                for times in sorted({1, most // 2, most} - {0}) if width > 1 else (most,):
+                    after = {n: c - times * need.get(n, 0) for n, c in left.items()}
+                    stack.append(({n: c for n, c in after.items() if c}, [*plan, (content, times)], used + times, wasted + waste * times))
         width += 1
     return best
 
