@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from folioflow.llm._spark import durable
 from folioflow.llm._text import WHITE, Words, as_long, chunks
 
-DEPTH = 4
-NODES = 12_288
+DEPTH = 5
+NODES = 20_480
 HEAD = 262_144
 END = np.uint64(0xE2D0F7E87A5B0C11)
-HOLD = 1 << 20
+HOLD = 1 << 19
+#: Where the depth of a context stands above its bytes.
+LEVEL = 8 * DEPTH + 8
 
 
 def _add_up(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -140,17 +142,17 @@ def build(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.
     Inputs list (depth, context, symbol, count); a context's last byte is its low one. Row 0
     of the path table is the root, entry [node, byte] the node one byte further back.
     """
-    code = depth.astype(np.int64) << 40 | context
+    code = depth.astype(np.int64) << LEVEL | context
     nodes = np.unique(np.append(code, 0))
     ids = np.searchsorted(nodes, code)
-    level = nodes >> 40
-    bits = nodes & ((1 << 40) - 1)
+    level = nodes >> LEVEL
+    bits = nodes & ((1 << LEVEL) - 1)
     keep = len(nodes)
     inner = np.zeros(keep, bool)
     parent = np.zeros(keep, np.int64)
     for d in range(1, DEPTH + 1):
         at = np.flatnonzero(level == d)
-        parent[at] = np.searchsorted(nodes, (d - 1) << 40 | (bits[at] & ((1 << (8 * (d - 1))) - 1)))
+        parent[at] = np.searchsorted(nodes, (d - 1) << LEVEL | (bits[at] & ((1 << (8 * (d - 1))) - 1)))
     inner[parent[level > 0]] = True
     others = np.flatnonzero(inner)
     rows = keep + len(others)
@@ -171,6 +173,7 @@ def build(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.
     # Binary nodes 1..255 of a byte: node k has children 2k (bit 0) and 2k + 1 (bit 1).
     tree = np.zeros((rows, 512))
     tree[:, 256:] = counts
+    del counts
     for k in range(255, 0, -1):
         tree[:, k] = tree[:, 2 * k] + tree[:, 2 * k + 1]
     zero, one = tree[:, 2:512:2], tree[:, 3:512:2]

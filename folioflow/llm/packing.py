@@ -36,7 +36,7 @@ NODES = 3_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on which regular expression engines agree; other texts go to the tokenizer whole.
 COMMON = r"[\x09\x0a\x0d\x20-\x7eÀ-ÖØ-öø-ſ]*"
-KNOWN = 500_000
+KNOWN = 300_000
 Plan = list[tuple[tuple[int, ...], int]]
 
 
