@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources import spread
+
 _OWN: dict[str, str] = {}
 
 
@@ -43,13 +45,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % modulus
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
