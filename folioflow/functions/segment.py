@@ -34,7 +34,7 @@ _DOT = (
     f"(?<![0-9])(?<!{_OPEN}[A-ZÀ-Þ])(?<!{_OPEN}\\.{{0,8}}(?i:{_WORDS}))(?<!{_OPEN}\\.{{0,8}}(?:[\\p{{L}}\\p{{N}}_]\\.){{1,64}}[\\p{{L}}\\p{{N}}_]))"
 )
 BOUNDARY = f"(?<![.!?…])(?:{_DOT}\\.[.!?…]*{_CLOSE}{_NEXT}|[!?…][.!?…]*{_CLOSE}{_ENDS})|(?<![।॥])[।॥]+{_DANDA_CLOSE}"
-SENTENCE = f"(?sU).+?(?:(?:{BOUNDARY})|$)"
+SENTENCE = f"(?sU).+?(?:(?=[.!?…।॥])(?:{BOUNDARY})|$)"
 PARAGRAPH = r"[\r\n]+|[^\r\n]+"
 PIECES = "array<struct<text:string,translatable:boolean>>"
 

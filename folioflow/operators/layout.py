@@ -7,7 +7,6 @@ only number the rows; text, boxes, sizes and styles are DataFrame aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from statistics import median
 
 import pyarrow as pa
@@ -78,56 +77,85 @@ def box_of() -> list[Column]:
     return [F.coalesce(f(c), F.lit(0.0)).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
 
 
-def _whole(key: tuple, tables: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-    return tables if isinstance(tables, pa.Table) else pa.Table.from_batches(list(tables))
+LINE = "doc_id long, page_index int, line_id int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, color int, bold boolean, italic boolean"
 
 
-def number_lines(page: pa.Table) -> pa.Table:
-    """``page`` in order of pos with ``unit`` and ``line_id``; white space before any line has none."""
+class _Line:
+    """A line being read: its glyphs so far, their running mean and right edge."""
+
+    def __init__(self, x0: float, y0: float, x1: float, y1: float):
+        self.box = [x0, y0, x1, y1]
+        self.mean, self.n = 0.0, 0
+        self.text: list[str] = []
+        self.space = False
+        self.sizes: list[float] = []
+        self.heights: list[float] = []
+        self.colors: dict[int, int] = {}
+        self.bold = self.italic = 0
+
+    def add(self, text: str, x0: float, y0: float, x1: float, y1: float, gap: float) -> None:
+        box = self.box
+        if self.n and not self.text[-1].endswith(" ") and (self.space or x0 - box[2] > gap):
+            self.text.append(" ")
+        self.text.append(text)
+        self.space = False
+        self.n += 1
+        self.mean += ((y0 + y1) / 2 - self.mean) / self.n
+        box[0], box[1], box[2], box[3] = min(box[0], x0), min(box[1], y0), max(box[2], x1), max(box[3], y1)
+
+    def row(self) -> tuple | None:
+        text = "".join(self.text).strip()
+        size = median(self.sizes) if self.sizes else 0.92 * median(self.heights)
+        # The most frequent colour; a dictionary keeps the first seen first.
+        color = max(self.colors, key=self.colors.__getitem__)
+        return (text, *self.box, max(size, 1.0), color, self.bold / self.n > MAJORITY, self.italic / self.n > MAJORITY) if text else None
+
+
+def page_lines(page: pa.Table) -> pa.Table:
+    """Line rows of one page's glyphs.
+
+    A visible glyph begins a line where it leaves the running mean of the line's middles by
+    more than half the page's median glyph height, or lies beyond its right edge by more than
+    a column break. White space never begins a line.
+    """
     page = page.sort_by("pos")
-    x0, x1, y0, y1 = (page.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1"))
-    seen = page.column("visible").to_pylist()
-    unit = float(median([b - a for a, b in zip(y0, y1)]))
-    ids: list[int | None] = []
-    line, open_, mean, right, n = -1, False, 0.0, 0.0, 0
-    for a, b, c, d, visible in zip(x0, x1, y0, y1, seen):
-        if not visible:
-            ids.append(line if open_ else None)
+    ids = [page.column(c)[0].as_py() for c in PAGE]
+    x0s, x1s, y0s, y1s, texts, sizes, colors, heavy, slanted = (page.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1", "text", "size", "color", "bold", "italic"))
+    unit = float(median([b - a for a, b in zip(y0s, y1s)]))
+    high, wide, gap = SAME_LINE * unit, COLUMN_BREAK * unit, WORD_SPACE * unit
+    done: list[_Line] = []
+    line: _Line | None = None
+    for x0, y0, x1, y1, text, size, color, b, i in zip(x0s, y0s, x1s, y1s, texts, sizes, colors, heavy, slanted):
+        if not text or text.isspace():
+            if line is not None:
+                line.space = True
             continue
-        middle = (c + d) / 2
-        if not open_ or abs(middle - mean) > SAME_LINE * unit or a - right > COLUMN_BREAK * unit:
-            line, open_, mean, right, n = line + 1, True, middle, b, 1
-        else:
-            n += 1
-            mean += (middle - mean) / n
-            right = max(right, b)
-        ids.append(line)
-    return page.append_column("unit", pa.array([unit] * len(ids), pa.float64())).append_column("line_id", pa.array(ids, pa.int32()))
+        if line is None or abs((y0 + y1) / 2 - line.mean) > high or x0 - line.box[2] > wide:
+            line = _Line(x0, y0, x1, y1)
+            done.append(line)
+        line.add(text, x0, y0, x1, y1, gap)
+        if size > 0:
+            line.sizes.append(size)
+        line.heights.append(y1 - y0)
+        line.colors[color] = line.colors.get(color, 0) + 1
+        line.bold += b
+        line.italic += i
+    rows = [(*ids, n, *r) for n, r in enumerate(x.row() for x in done) if r]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.bool_(), pa.bool_()]
+    names = [c.split(" ")[0] for c in LINE.split(", ")]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
 def lines(glyphs: DataFrame) -> DataFrame:
     """(doc_id, page_index, line_id, text, x0, y0, x1, y1, font_size, color, bold, italic).
 
     Glyphs are taken in order of ``pos``; boxes must be finite and have a height, others are
-    left out. Lines of white space only are dropped, so ids may have gaps.
+    left out. Lines of white space only are dropped, so ids may have gaps. One shuffle by
+    page; a page goes to Python once and comes back as lines.
     """
     usable = with_defaults(glyphs).filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('Infinity')" for c in ("x0", "y0", "x1", "y1")) + " AND y1 > y0")
-    flat = usable.select(*PAGE, "pos", "text", "x0", "y0", "x1", "y1", "size", "color", bold(F.col("flags"), F.col("font")).alias("bold"), italic(F.col("flags"), F.col("font")).alias("italic"), (~blank(F.col("text"))).alias("visible"))
-    numbered = flat.groupBy(*PAGE).applyInArrow(number_lines, flat.schema.simpleString()[7:-1].replace(":", " ") + ", unit double, line_id int").filter("line_id IS NOT NULL")
-    key = (*PAGE, "line_id")
-    order = Window.partitionBy(*key).orderBy("pos")
-    seen = numbered.withColumn("after_space", F.lag(~F.col("visible"), 1, False).over(order)).withColumn("right", F.max(F.when(F.col("visible"), F.col("x1"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    seen = seen.filter("visible").withColumn("before", F.lag("text").over(order))
-    spaced = F.col("before").isNotNull() & ~F.col("before").endswith(" ") & (F.col("after_space") | (F.col("x0") - F.col("right") > F.col("unit") * WORD_SPACE))
-    seen = seen.withColumn("piece", F.concat(F.when(spaced, " ").otherwise(""), "text"))
-    height = F.col("y1") - F.col("y0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), "")
-    size = F.coalesce(F.expr("median(size) FILTER (WHERE size > 0)"), F.median(height) * 0.92)
-    # The most frequent colour, the first seen of several: counted per colour, then compared.
-    per_color = seen.groupBy(*key, "color").agg(F.count("*").alias("n"), F.min("pos").alias("p")).groupBy(*key).agg(F.max_by("color", F.struct("n", -F.col("p"))).alias("color"))
-    share = lambda c: F.avg(F.col(c).cast("int")) > MAJORITY
-    grouped = seen.groupBy(*key).agg(strip(text).alias("text"), *box_of(), F.greatest(size, F.lit(1.0)).alias("font_size"), share("bold").alias("bold"), share("italic").alias("italic"))
-    return grouped.join(per_color, list(key)).filter("text <> ''").select(*key, "text", "x0", "y0", "x1", "y1", "font_size", "color", "bold", "italic")
+    flat = usable.select(*PAGE, "pos", "text", "x0", "y0", "x1", "y1", "size", "color", bold(F.col("flags"), F.col("font")).alias("bold"), italic(F.col("flags"), F.col("font")).alias("italic"))
+    return flat.groupBy(*PAGE).applyInArrow(page_lines, LINE)
 
 
 def starts_list_item(text: Column) -> Column:
@@ -188,14 +216,17 @@ def blocks(lines: DataFrame) -> DataFrame:
     spread = lambda a: F.coalesce(F.max(a) - F.min(a), F.lit(0.0))
     letters = F.length("text")
     weight = lambda c: F.sum(F.when(F.col(c), letters).otherwise(0)) / F.greatest(F.sum(letters), F.lit(1)) > MAJORITY
-    per_color = rows.groupBy(*key, "color").agg(F.sum(letters).alias("w"), F.min("line_id").alias("p")).groupBy(*key).agg(F.max_by("color", F.struct("w", -F.col("p"))).alias("color"))
+    # The colour of most letters, the first seen of several: windows inside the block's own partition.
+    of_color = Window.partitionBy(*key, "color")
+    rows = rows.withColumn("_w", F.sum(letters).over(of_color)).withColumn("_p", F.min("line_id").over(of_color))
+    color = F.max_by("color", F.struct("_w", -F.col("_p"))).alias("color")
     one_height = F.first("y1") - F.first("y0")
     out = rows.groupBy(*key).agg(
-        joined_text(stripped).alias("text"), many.alias("n_lines"), *box_of(), size.alias("font_size"), F.median("font_size").alias("_mid"), weight("bold").alias("bold"), weight("italic").alias("italic"),
+        joined_text(stripped).alias("text"), many.alias("n_lines"), color, *box_of(), size.alias("font_size"), F.median("font_size").alias("_mid"), weight("bold").alias("bold"), weight("italic").alias("italic"),
         F.when(many < 2, F.when(one_height != 0, one_height)).otherwise(F.expr("median(gap) FILTER (WHERE gap > 0)")).alias("_leading"),
         spread(F.col("x0")).alias("_l"), spread((F.col("x0") + F.col("x1")) / 2).alias("_c"), spread(F.col("x1")).alias("_r2"), spread(F.when(~F.col("last"), F.col("x1"))).alias("_r3"),
     )
     right, tolerance = F.when(F.col("n_lines") >= 3, F.col("_r3")).otherwise(F.col("_r2")), F.col("_mid") * EDGE_TOLERANCE
     alignment = F.when((F.col("n_lines") < 2) | (F.col("_l") <= tolerance), "left").when((F.col("_c") <= tolerance) & (F.col("_c") < right), "centre").when(right <= tolerance, "right").otherwise("left")
     out = out.withColumn("line_height", F.coalesce("_leading", F.col("font_size") * 1.2)).withColumn("alignment", alignment)
-    return out.join(per_color, list(key)).select(*key, "text", "n_lines", "x0", "y0", "x1", "y1", "font_size", "line_height", "color", "bold", "italic", "alignment")
+    return out.select(*key, "text", "n_lines", "x0", "y0", "x1", "y1", "font_size", "line_height", "color", "bold", "italic", "alignment")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import catalog, ocr
 from folioflow.plans import layout_queries, report
-from folioflow.sources import table
+from folioflow.sources import spread, table
 
 #: A model folder in which one model lacks a file, and font folders by rank.
 MODEL_LISTING = [(d, f) for d in ("opus-mt-en-de", "opus-mt-de-en", "opus-mt-en-hi", "opus-mt-hi-en") for f in ("model.bin", "source.spm", "target.spm", "config.json") if (d, f) != ("opus-mt-hi-en", "target.spm")]
@@ -86,7 +86,7 @@ def tsv_lines(spark: SparkSession, sf: str) -> DataFrame:
     from folioflow.sources.glyphs import ocr_words
 
     fields = ["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"]
-    words = ocr_words(table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"[\t\r\n]", " ").alias("text")))
+    words = ocr_words(spread(table(spark, sf, "documents")).select("doc_id", F.regexp_replace("text", r"[\t\r\n]", " ").alias("text")))
     row = F.concat_ws("\t", *fields)
     tsv = F.concat(F.lit("\t".join(fields) + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("row")))), lambda x: x["row"]), "\n"), F.lit("\n"))
     parsed = ocr.parse_tsv(words.groupBy("doc_id").agg(tsv.alias("tsv")))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from folioflow.operators import colour, fit, layout, ocr
 from folioflow.plans.report import document_rollup, summary
 from folioflow.sources import glyphs as grid
-from folioflow.sources import table
+from folioflow.sources import spread, table
 
 PAGE_X1, PAGE_Y1 = 595.0, 842.0
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def glyph_predicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ def ocr_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _room(spark: SparkSession, sf: str) -> DataFrame:
-    return fit.available_height(fit.available_width(_blocks(spark, sf), F.lit(PAGE_X1)), F.lit(PAGE_Y1))
+    return fit.available_height(fit.available_width(_blocks(spark, sf), F.lit(PAGE_X1)), F.lit(PAGE_Y1)).drop("_page")
 
 
 def available_width(spark: SparkSession, sf: str) -> DataFrame:

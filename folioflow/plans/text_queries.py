@@ -8,51 +8,55 @@ from pyspark.sql import functions as F
 from folioflow.functions.segment import paragraphs, reassemble, segment
 from folioflow.operators import catalog, translate
 from folioflow.plans import oracle
-from folioflow.sources import table
+from folioflow.sources import spread, table
 
 DOCS = "SELECT doc_id AS id, text FROM documents"
 _PIECES = "WITH RECURSIVE " + oracle.pieces(DOCS)
 
 
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+
+
 def paragraph_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "text"))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "text"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", F.col("text").rlike(r"^[\r\n]").alias("is_break"))
 
 
 def sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return translate.exploded(table(spark, sf, "documents")).filter("pos is not null").select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "translatable")
+    return translate.exploded(_docs(spark, sf)).filter("pos is not null").select("doc_id", F.col("pos").cast("long").alias("pos"), "text", "translatable")
 
 
 def reassembly_check(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = table(spark, sf, "documents").select("doc_id", "text", segment(F.col("text")).alias("p"))
+    pieces = _docs(spark, sf).select("doc_id", "text", segment(F.col("text")).alias("p"))
     return pieces.select("doc_id", F.size("p").cast("long").alias("n_pieces"), (reassemble(F.col("p")) == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
 def sentence_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(segment(F.col("text"))).alias("pos", "p")).filter("p.translatable")
+    docs = _docs(spark, sf).select("doc_id", "lang", F.posexplode(segment(F.col("text"))).alias("pos", "p")).filter("p.translatable")
     # Distinct sentences are counted from one row per language and sentence, so one shuffle on that pair serves all columns.
     per = docs.groupBy("lang", F.col("p.text").alias("s")).agg(F.count("*").alias("uses"), F.sum(F.length("p.text")).alias("chars"))
     return per.groupBy("lang").agg(F.sum("uses").alias("sentences"), F.count("*").alias("distinct_sentences"), F.sum("chars").alias("characters"))
 
 
 def distinct_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return translate.distinct_sentences(translate.exploded(table(spark, sf, "documents")))
+    return translate.distinct_sentences(translate.exploded(_docs(spark, sf)))
 
 
 def translate_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    english = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
+    english = _docs(spark, sf).filter("lang = 'en'").select("doc_id", "text")
     return translate.translate_hop(english, translate.bracket_model).withColumnRenamed("text", "translated")
 
 
 def translate_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    german = table(spark, sf, "documents").filter("lang = 'de'").select("doc_id", "text")
+    german = _docs(spark, sf).filter("lang = 'de'").select("doc_id", "text")
     hops = len(catalog.route_on_driver(catalog.models(spark), "de", "hi"))
     return translate.translate(german, [translate.bracket_model] * hops).withColumnRenamed("text", "translated")
 
 
 def document_report(spark: SparkSession, sf: str, target: str = "hi") -> DataFrame:
     """Per language: documents, hops, sentences, distinct sentences and the share of repeats."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = _docs(spark, sf).select("doc_id", "lang", "text")
     hops = catalog.routes(catalog.models(spark)).filter(F.col("target") == target).select(F.col("source").alias("lang"), F.size("route").cast("long").alias("hops"))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("documents"))
     stats = sentence_stats_by_lang(spark, sf).select("lang", "sentences", "distinct_sentences")
@@ -71,12 +75,12 @@ def _cache(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = translate.distinct_sentences(translate.exploded(table(spark, sf, "documents")))
+    wanted = translate.distinct_sentences(translate.exploded(_docs(spark, sf)))
     return translate.cache_probe(wanted, _cache(spark, sf))[0]
 
 
 def cache_pending(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = translate.distinct_sentences(translate.exploded(table(spark, sf, "documents")))
+    wanted = translate.distinct_sentences(translate.exploded(_docs(spark, sf)))
     return translate.cache_probe(wanted, _cache(spark, sf))[1]
 
 
@@ -86,7 +90,7 @@ def cache_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return translate.batch_plan(translate.distinct_sentences(translate.exploded(table(spark, sf, "documents"))).select("sentence"))
+    return translate.batch_plan(translate.distinct_sentences(translate.exploded(_docs(spark, sf))).select("sentence"))
 
 
 def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +99,7 @@ def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 def long_sentence_split(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces under a limit of 60 characters: most sentences are split."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(segment(F.col("text"), 60)).alias("pos", "p"))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(segment(F.col("text"), 60)).alias("pos", "p"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "p.text", "p.translatable")
 
 
