@@ -6,8 +6,11 @@ come from a recursive query over the model graph.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed values: (code, native name, English name, script, OCR code), in menu order.
 LANGUAGES = (("en", "English", "English", "latin", "eng"), ("de", "Deutsch", "German", "latin", "deu"), ("hi", "हिन्दी", "Hindi", "devanagari", "hin"))
@@ -29,7 +32,9 @@ FONTS = {
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table, as a local relation that the optimiser can fold."""
-    return spark.createDataFrame(rows, schema)
+    fields = T._parse_datatype_string(schema)
+    table = pa.Table.from_pylist([dict(zip(fields.names, row)) for row in rows], schema=to_arrow_schema(fields))
+    return spark.createDataFrame(table)
 
 
 def languages(spark: SparkSession) -> DataFrame:
