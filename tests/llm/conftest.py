@@ -11,20 +11,3 @@ def documents(spark):
         return spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], DOC)
 
     return make
-
-
-def vocabulary(n, seed=1):
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    return ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) + str(i % 7) for i in range(n)]
-
-
-WORDS = vocabulary(400)
-
-
-def prose(seed, n, words=WORDS):
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    return [words[i] for i in rng.integers(0, len(words), n)]

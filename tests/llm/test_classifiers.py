@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import prose
+from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import quality, toxicity

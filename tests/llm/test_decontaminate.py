@@ -1,7 +1,7 @@
 import itertools
 
 import numpy as np
-from conftest import prose
+from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate as d

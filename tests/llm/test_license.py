@@ -1,6 +1,6 @@
 import re
 
-from conftest import prose
+from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import license_scan as ls

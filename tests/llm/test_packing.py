@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from made_up import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
+from made_up import prose
 from test_neardup import brute as brute_classes
 from test_packing import check_layout
 from test_substring import brute as brute_cuts

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import numpy as np
-from conftest import prose
+from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import substring as s
