@@ -17,7 +17,6 @@ incumbent, and meeting the lower bound ends the search.
 from __future__ import annotations
 
 import struct
-import sys
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -176,6 +175,18 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
     return best
 
 
+class Known(dict):
+    """Ids of pieces, merged when first asked for."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.merge(piece.encode())
+        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class Encoder:
     """Token ids as little-endian uint32 bytes, with the ids of pieces between merges remembered.
 
@@ -197,8 +208,8 @@ class Encoder:
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(byte[c] for c in word): n for word, n in self.tokenizer.get_vocab().items() if word not in special}
-        self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.known: dict[str, bytes] = {}
+        merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.known = Known(merge)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -206,28 +217,13 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.common(text):
             return self.ids([text])[0]
-        pieces, known = self.split(text), self.known
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > KNOWN:
-                known.clear()
-                new = set(pieces)
-            for p in new:
-                ids = self.merge(p.encode())
-                known[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, pieces))
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker process, kept across its tasks."""
-    kept = sys.__dict__.setdefault("_folioflow_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path)
+    encode = Encoder(path)
     for batch in batches:
         for begin in range(0, batch.num_rows, 500):
             part = batch.slice(begin, 500)
