@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: sketches first, then full sets of the rest."""
-        pairs = pairs.distinct().join(side("a", sketch), "a").join(side("b", sketch), "b").mapInArrow(_filter_pairs, "a long, b long")
+        # Written between the two Python steps: in one stage each would hold a worker of its own.
+        pairs = durable(pairs.distinct().join(side("a", sketch), "a").join(side("b", sketch), "b").mapInArrow(_filter_pairs, "a long, b long"))
         return durable(pairs.join(side("a", texts), "a").join(side("b", texts), "b").mapInArrow(_confirm, "a long, b long"))
 
     # Two stars a bucket, around members drawn by a hash, so that bands differ in their centers.

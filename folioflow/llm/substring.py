@@ -225,6 +225,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     kind = source.schema["extra"].dataType.simpleString()
     packed = source.mapInArrow(_pack, f"doc_id long, text_hash long, extra {kind}, packed binary")
+    # Dealt by document even where the other side is broadcast, so that no stage runs two Python steps at once.
+    packed = packed.repartition("doc_id", "text_hash")
     windows = durable(packed.drop("extra").join(wanted, ["doc_id", "text_hash"]).mapInArrow(lambda b: _windows(b, window), "key long, content long, i int, w long, m long"))
     smallest = windows.groupBy("key", "w").agg(F.min("m").alias("g"), F.max("m").alias("h")).filter("g < h").select("key", "w", "g")
     hits = windows.join(smallest, ["key", "w"]).filter("g < m").groupBy("key", "content").agg(F.collect_set("i").alias("hits"))
