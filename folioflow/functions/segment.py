@@ -25,8 +25,8 @@ SPACE = r"[\s\x1c-\x1f]"
 _CLOSE = "[\"'”’)\\]»]*"
 _DANDA_CLOSE = "[\"'”’)\\]]*"
 _OPEN = "(?:^|[\\s\\x1c-\\x1f(\\[\"'])"
-_NEXT = f"(?={SPACE}*$|{SPACE}+[\"'“‘(\\[«\\u0900-\\u097F0-9A-ZÀ-Þ])"
-_ENDS = f"(?={SPACE}|$)"
+_NEXT = f"(?={SPACE}*\\z|{SPACE}+[\"'“‘(\\[«\\u0900-\\u097F0-9A-ZÀ-Þ])"
+_ENDS = f"(?={SPACE}|\\z)"
 _WORDS = "|".join(sorted(ABBREVIATIONS))
 #: A full stop counts after a digit; otherwise not after an initial, an abbreviation or letters set apart by dots.
 _DOT = (
@@ -34,7 +34,7 @@ _DOT = (
     f"(?<![0-9])(?<!{_OPEN}[A-ZÀ-Þ])(?<!{_OPEN}\\.{{0,8}}(?i:{_WORDS}))(?<!{_OPEN}\\.{{0,8}}(?:[\\p{{L}}\\p{{N}}_]\\.){{1,64}}[\\p{{L}}\\p{{N}}_]))"
 )
 BOUNDARY = f"(?<![.!?…])(?:{_DOT}\\.[.!?…]*{_CLOSE}{_NEXT}|[!?…][.!?…]*{_CLOSE}{_ENDS})|(?<![।॥])[।॥]+{_DANDA_CLOSE}"
-SENTENCE = f"(?sU).+?(?:(?=[.!?…।॥])(?:{BOUNDARY})|$)"
+SENTENCE = f"(?sU).*?(?=[.!?…।॥])(?:{BOUNDARY})|.+"
 PARAGRAPH = r"[\r\n]+|[^\r\n]+"
 PIECES = "array<struct<text:string,translatable:boolean>>"
 
@@ -50,7 +50,6 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(paragraph: Column) -> Column:
     """Contiguous spans that cover a paragraph; each ends at a boundary or at the paragraph's end."""
-    # One blank span is left out of the pattern's reach: a boundary always has a character before its end.
     return F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0))
 
 
@@ -99,7 +98,7 @@ def split_long(sentence: Column, limit: int = LONGEST) -> Column:
 
 def _span_pieces(span: Column, limit: int) -> Column:
     lead = F.regexp_extract(span, f"(?sU)^({SPACE}*)", 1)
-    tail = F.when(F.length(lead) == F.length(span), F.lit("")).otherwise(F.regexp_extract(span, f"(?sU)({SPACE}*)$", 1))
+    tail = F.when(F.length(lead) == F.length(span), F.lit("")).otherwise(F.regexp_extract(span, f"(?sU)({SPACE}*)\\z", 1))
     core = F.substring(span, F.length(lead) + 1, F.length(span) - F.length(lead) - F.length(tail))
     parts = F.when(core == "", F.array().cast(PIECES)).otherwise(split_long(core, limit))
     return F.filter(F.concat(F.array(piece(lead, False)), parts, F.array(piece(tail, False))), lambda p: p["text"] != "")

@@ -3,10 +3,10 @@
 import pytest
 from helpers import same
 
-from folioflow.plans import catalog_queries, layout_queries, text_queries, tooling_queries
+from folioflow.plans import catalog_queries, document_queries, layout_queries, text_queries, tooling_queries
 
-QUERIES = text_queries.QUERIES | catalog_queries.QUERIES | layout_queries.QUERIES | tooling_queries.QUERIES
-ORACLES = text_queries.ORACLES | catalog_queries.ORACLES | layout_queries.ORACLES | tooling_queries.ORACLES
+QUERIES = text_queries.QUERIES | catalog_queries.QUERIES | layout_queries.QUERIES | document_queries.QUERIES | tooling_queries.QUERIES
+ORACLES = text_queries.ORACLES | catalog_queries.ORACLES | layout_queries.ORACLES | document_queries.ORACLES | tooling_queries.ORACLES
 
 
 def test_every_query_has_sql():

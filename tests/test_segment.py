@@ -29,7 +29,7 @@ def test_null_and_reassemble(spark):
     [
         ("One. Two! Three?", 3), ("A heading\nSome body text.", 2), ("Dr. Smith went home.", 1), ("See Fig. 4 for it.", 1), ("It is 3.5 percent of all.", 1), ("Go to www.example.com now.", 1),
         ("J. R. R. Tolkien wrote it.", 1), ("Das gilt bzw. Das gilt nicht.", 1), ("Es sind ca. neun.", 1), ('"Stop now." She left.', 2), ("Clause 4. Januar", 2), ("यह है। वह है।", 2), ("z.B. Das hier.", 1),
-        ("", 0), (" \t", 0), ("so!no", 1), ("what?! Yes", 2),
+        ("", 0), (" \t", 0), ("so!no", 1), ("! x!! y", 3), ("... And", 2), ("a.\u2028", 1), ("what?! Yes", 2),
     ],
 )
 def test_boundaries(spark, text, count):
