@@ -1 +1,8 @@
 """Document dataflow on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python workers get the folds by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
