@@ -3,17 +3,20 @@
 Every byte is eight binary decisions; each decision has its own tree over the last
 ``DEPTH`` bytes. A node's Krichevsky-Trofimov estimate is weighted against the product of
 its children's weighted probabilities, so all depths mix, each with the weight the corpus
-gives it. The corpus is counted whole: a groupBy over (context, byte) pairs. The tree keeps
-the ``NODES`` most frequent contexts (a context is never rarer than a longer one, so this
-set holds every kept context's shorter ones); the remaining contexts of a node share one
-further child, so the children always partition the node's data and nothing is dropped.
+gives it. The corpus is counted whole, by a groupBy over (context, byte) pairs, and every
+context that occurs has a node of its own: the tree grows with the corpus.
 
-A position's path through the tree is one table look-up per depth, and the mixed
-probability of each byte at the end of each path is precomputed, so scoring is a few numpy
-gathers per byte. The tables have at most 2 * NODES + 1 rows of 256 entries.
+What a position costs depends only on its context and its byte, so it is worked out once
+for each distinct pair, also for pairs that only scored rows have (their count is 0). The
+pairs are dealt by their last three bytes; depths 5 to 3 are weighted there, bottom up. The
+sums per two last bytes and binary decision, whose number has a bound that no corpus
+exceeds, are weighted on the driver. On the way down a node's mixture is an affine function
+of the one below it, so each pair's cost is found from its own group and those functions.
 
-The add-one unigram base score needs the count of every word: the most frequent words (at
-most ``HEAD``) are looked up in a broadcast table, the others by a join on the word's hash.
+Look-ups have two steps, for pairs (``PAIRS``) as for words (``HEAD``): the most frequent are
+found in a broadcast table, all others by a join. Both give the same values.
+
+The add-one unigram base score needs the count of every word.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from folioflow.llm._spark import durable
 from folioflow.llm._text import WHITE, Words, as_long, chunks
 
 DEPTH = 5
-NODES = 20_480
+PAIRS = 1 << 20
 HEAD = 262_144
 END = np.uint64(0xE2D0F7E87A5B0C11)
 HOLD = 1 << 19
+#: Rows that are weighted at a time, up to the end of a group.
+STEP = 1 << 18
 #: Where the depth of a context stands above its bytes.
 LEVEL = 8 * DEPTH + 8
 
@@ -100,14 +105,25 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x, np.flatnonzero(scored), offsets + np.arange(docs + 1)
 
 
+def _pairs(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Context and byte of each position; the nearest byte is the highest, the byte itself the lowest."""
+    key = x[at].astype(np.uint64)
+    for d in range(1, DEPTH + 1):
+        key |= x[at - d].astype(np.uint64) << np.uint64(8 * (DEPTH + 1 - d))
+    return key
+
+
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of all rows; those of rows that are not learned from count 0."""
+
     def keys() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, data, offsets in chunks(batches):
-            x, at, _ = layout(data, offsets)
-            key = x[at].astype(np.uint64)
-            for d in range(1, DEPTH + 1):
-                key |= x[at - d].astype(np.uint64) << np.uint64(8 * d)
-            yield _unique(key)
+        for rows, data, offsets in chunks(batches):
+            x, at, docs = layout(data, offsets)
+            key = _pairs(x, at)
+            learn = np.repeat(rows.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(docs))
+            yield _unique(key[learn])
+            others = np.unique(key[~learn])
+            yield others, np.zeros(len(others), np.int64)
 
     return _add_up(keys())
 
@@ -136,9 +152,185 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
+_HALF = log_gamma(np.arange(1 << 16) + 0.5)
+_WHOLE = log_gamma(np.arange(1 << 16) + 1.0)
+
+
+def estimated(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
+
+    def look(table: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
+        out = table[np.minimum(n, len(table) - 1).astype(np.int64)]
+        big = n >= len(table)
+        if big.any():
+            out[big] = log_gamma(n[big] + more)
+        return out
+
+    return look(_HALF, zero, 0.5) + look(_HALF, one, 0.5) - look(_WHOLE, zero + one, 1.0) - math.log(math.pi)
+
+
+def weighed(zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted probability (ln) of nodes with children, and the odds of their own estimate."""
+    own = estimated(zero, one)
+    return np.logaddexp(own, below) - math.log(2), np.exp(np.clip(own - below, -700, 700))
+
+
+def passed(line: tuple[np.ndarray, np.ndarray], zero: np.ndarray, one: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture at the root as a + b * (that of the child), one depth further down."""
+    a, b = line
+    b = b / (odds + 1)
+    return a + b * odds * (one + 0.5) / (zero + one + 1), b
+
+
+class Decision:
+    """Depths 3 to 5 of the trees of one binary decision, for whole groups of three last bytes.
+
+    ``zero``, ``one``: counts of the nodes of each depth; ``up``: their parents' numbers.
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, j: int):
+        symbol = key & 255
+        code = key >> 24 << 32 | (1 << j | symbol >> (8 - j)) << 24 | key & 0xFFFFFF
+        self.order = np.argsort(code)
+        code = code[self.order]
+        self.bit = (symbol[self.order] >> (7 - j) & 1).astype(bool)
+        n = count[self.order].astype(np.float64)
+        self.zero, self.one, self.up, last = {}, {}, {}, None
+        for d in (3, 4, 5):
+            node = code >> (8 * (6 - d))
+            new = np.concatenate(([True], node[1:] != node[:-1]))
+            at = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            self.one[d] = np.add.reduceat(np.where(self.bit, n, 0), at)
+            self.zero[d] = np.add.reduceat(n, at) - self.one[d]
+            if d == 3:
+                # Two last bytes and the binary node.
+                self.top = code[at] >> 40 << 8 | code[at] >> 24 & 255
+            else:
+                self.up[d] = last[at]
+            last = of
+        self.leaf = last
+        below = np.bincount(self.up[5], estimated(self.zero[5], self.one[5]))
+        below, self.odds4 = weighed(self.zero[4], self.one[4], below)
+        self.weighted, self.odds3 = weighed(self.zero[3], self.one[3], np.bincount(self.up[4], below))
+
+    def chance(self, line: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Probability of each row's bit, in the order of ``order``."""
+        a, b = passed(line, self.zero[3], self.one[3], self.odds3)
+        a, b = passed((a[self.up[4]], b[self.up[4]]), self.zero[4], self.one[4], self.odds4)
+        p = a[self.up[5]] + b[self.up[5]] * (self.one[5] + 0.5) / (self.zero[5] + self.one[5] + 1)
+        return np.where(self.bit, p[self.leaf], 1 - p[self.leaf])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted pairs and their counts, about STEP at a time, never parting a group of three last bytes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("k").to_numpy(), batch.column("c").to_numpy()))
+            size += batch.num_rows
+        if size >= STEP:
+            key, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(key, key[-1] >> 24 << 24))
+            if cut:
+                yield key[:cut], count[:cut]
+            held, size = [(key[cut:], count[cut:])], len(key) - cut
+            # A group larger than a step is not put together again for each batch.
+            size = 0 if not cut else size
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, count in _groups(batches):
+        for j in range(8):
+            x = Decision(key, count, j)
+            at, of = np.unique(x.top, return_inverse=True)
+            yield pa.record_batch({"at": at, "zero": np.bincount(of, x.zero[3]).astype(np.int64), "one": np.bincount(of, x.one[3]).astype(np.int64), "below": np.bincount(of, x.weighted)})
+
+
+def top_lines(at: np.ndarray, zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, a, b) of two last bytes and binary node: see ``passed``."""
+    order = np.argsort(at)
+    at, zero, one, below = at[order], zero[order].astype(np.float64), one[order].astype(np.float64), below[order]
+    nodes = [(at, zero, one, *weighed(zero, one, below))]
+    ups = []
+    for _ in range(2):
+        low, zero, one, weighted, _ = nodes[-1]
+        code, up = np.unique(low >> 16 << 8 | low & 255, return_inverse=True)
+        zero, one, below = (np.bincount(up, x, len(code)) for x in (zero, one, weighted))
+        nodes.append((code, zero, one, *weighed(zero, one, below)))
+        ups.append(up)
+    a, b = np.zeros(len(nodes[2][0])), np.ones(len(nodes[2][0]))
+    for i in (2, 1, 0):
+        _, zero, one, _, odds = nodes[i]
+        a, b = passed((a, b), zero, one, odds)
+        if i:
+            a, b = a[ups[i - 1]], b[ups[i - 1]]
+    return at, a, b
+
+
+def _fall(batches: Iterator[pa.RecordBatch], top: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    code, a, b = top
+    for key, count in _groups(batches):
+        cost = np.zeros(len(key))
+        for j in range(8):
+            x = Decision(key, count, j)
+            at = np.searchsorted(code, x.top)
+            cost[x.order] += np.log10(x.chance((a[at], b[at])))
+        for s in range(0, len(key), 100_000):
+            yield pa.record_batch({"k": key[s : s + 100_000], "c": count[s : s + 100_000], "cost": cost[s : s + 100_000]})
+
+
+class Slots:
+    """Values of frequent keys by hash; of two keys for one slot the more frequent has it, the other tries a second table."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, count: np.ndarray):
+        order = np.argsort(count, kind="stable")
+        key, value = key[order], value[order]
+        self.tables = []
+        for bits in (21, 20):
+            keys, values = np.full(1 << bits, np.iinfo(np.uint64).max), np.zeros(1 << bits)
+            at = self.slot(key, bits)
+            keys[at], values[at] = key, value
+            self.tables.append((bits, keys, values))
+            lost = keys[at] != key
+            key, value = key[lost], value[lost]
+
+    @staticmethod
+    def slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return (key * np.uint64(0x9E3779B97F4A7C15 if bits & 1 else 0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 where it is not known, and whether it is."""
+        (bits, keys, values), (bits2, keys2, values2) = self.tables
+        at = self.slot(key, bits)
+        known = keys[at] == key
+        value = np.where(known, values[at], 0)
+        rest = np.flatnonzero(~known)
+        at = self.slot(key[rest], bits2)
+        ok = keys2[at] == key[rest]
+        value[rest[ok]] = values2[at[ok]]
+        known[rest[ok]] = True
+        return value, known
+
+
+def _listed(keys: np.ndarray, who: np.ndarray, docs: int) -> pa.Array:
+    """For each document the list of its distinct keys, with how often each occurs."""
+    order = np.lexsort((keys, who))
+    keys, who = keys[order], who[order]
+    new = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])))) if len(keys) else np.empty(0, np.int64)
+    times = np.diff(np.append(new, len(keys)))
+    lists = np.searchsorted(who[new], np.arange(docs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([as_long(keys[new]), pa.array(times)], ["k", "n"]))
+
+
 def build(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Path table and log10 probabilities, both of shape (rows, 256), from counts of kept contexts.
 
+    The tree of a small corpus on one machine. ``score`` does not use it: it has no such limit.
+
     Inputs list (depth, context, symbol, count); a context's last byte is its low one. Row 0
     of the path table is the root, entry [node, byte] the node one byte further back.
     """
@@ -215,32 +407,25 @@ def build(depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.
     return child, table
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    child, table, words, logs = model
-    child, table = child.ravel(), table.ravel()
+def _score(batches: Iterator[pa.RecordBatch], model: tuple) -> Iterator[pa.RecordBatch]:
+    pairs, words, logs = model
     for rows, data, offsets in chunks(batches):
         x, at, docs = layout(data, offsets)
-        node = np.zeros(len(at), np.int64)
-        for d in range(1, DEPTH + 1):
-            node = child[node << 8 | x[at - d]].astype(np.int64)
-        score = np.add.reduceat(table[node << 8 | x[at]].astype(np.float64), docs[:-1])
+        n = len(docs) - 1
+        key = _pairs(x, at)
+        cost, easy = pairs.find(key)
+        score = np.add.reduceat(cost, docs[:-1])
+        others = _listed(key[~easy], np.repeat(np.arange(n), np.diff(docs))[~easy], n)
 
         h, first = _with_end(Words(data, offsets, WHITE, lower=True))
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        doc = np.repeat(np.arange(n), np.diff(first))
         spot = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
         head = words[spot] == h if len(words) else np.zeros(len(h), bool)
-        gain = np.bincount(doc[head], logs[spot[head]], len(first) - 1) if len(words) else np.zeros(len(first) - 1)
-        known = np.bincount(doc[head], minlength=len(first) - 1)
-        rest, who = h[~head], doc[~head]
-        order = np.lexsort((rest, who))
-        rest, who = rest[order], who[order]
-        new = np.flatnonzero(np.concatenate(([True], (rest[1:] != rest[:-1]) | (who[1:] != who[:-1])))) if len(rest) else np.empty(0, np.int64)
-        times = np.diff(np.append(new, len(rest)))
-        lists = np.searchsorted(who[new], np.arange(len(first))).astype(np.int32)
-        tail = pa.ListArray.from_arrays(pa.array(lists), pa.StructArray.from_arrays([as_long(rest[new]), pa.array(times)], ["k", "n"]))
+        gain = np.bincount(doc[head], logs[spot[head]], n) if len(words) else np.zeros(n)
+        known = np.bincount(doc[head], minlength=n)
         yield pa.record_batch({
             "rid": rows.column("rid"), "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_bytes": pa.array(np.diff(offsets)), "n_tokens": pa.array(np.diff(first)),
-            "known": pa.array(known.astype(np.int64)), "gain": pa.array(gain), "score": pa.array(score), "tail": tail,
+            "known": pa.array(known.astype(np.int64)), "gain": pa.array(gain), "score": pa.array(score), "pairs": others, "tail": _listed(h[~head], doc[~head], n),
         })
 
 
@@ -256,35 +441,34 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     train = source.filter(~F.col("held_out")).select("text")
     words = durable(train.mapInArrow(_count_words, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
-    grams = durable(train.mapInArrow(_count_bytes, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
-
-    symbol = F.col("k").bitwiseAND(255).alias("symbol")
-    levels = [grams.select(F.lit(d).alias("depth"), F.shiftright("k", 8).bitwiseAND((1 << (8 * d)) - 1).alias("context"), symbol, "c") for d in range(DEPTH + 1)]
-    by_symbol = levels[0]
-    for x in levels[1:]:
-        by_symbol = by_symbol.unionByName(x)
-    by_symbol = durable(by_symbol.groupBy("depth", "context", "symbol").agg(F.sum("c").alias("c")))
-    contexts = by_symbol.filter("depth > 0").groupBy("depth", "context").agg(F.sum("c").alias("n"))
-    # At most NODES contexts of at most 256 symbols reach the driver.
-    kept = frequent(contexts, "n", NODES).select("depth", "context")
-    got = by_symbol.join(kept, ["depth", "context"], "left_semi").unionByName(by_symbol.filter("depth = 0")).toArrow()
-    child, table = build(*(got.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "c")))
+    learn = F.coalesce(~F.col("held_out"), F.lit(False)).alias("learn")
+    grams = durable(source.select(learn, "text").mapInArrow(_count_bytes, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
+
+    grouped = grams.repartition(F.shiftright("k", 24)).sortWithinPartitions("k")
+    sums = grouped.mapInArrow(_rise, "at long, zero long, one long, below double").groupBy("at").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).toArrow()
+    top = docs.sparkSession.sparkContext.broadcast(top_lines(*(sums.column(c).to_numpy() for c in ("at", "zero", "one", "below"))))
+    costs = durable(grouped.mapInArrow(lambda b: _fall(b, top.value), "k long, c long, cost double"))
+    often = frequent(costs.filter("c > 0"), "c", PAIRS).toArrow()
+    pairs = Slots(often.column("k").to_numpy().view(np.uint64), often.column("cost").to_numpy(), often.column("c").to_numpy())
 
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(total["n"]), int(total["v"])
     head = frequent(words, "c", HEAD).toArrow()
     keys = head.column("k").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    model = docs.sparkSession.sparkContext.broadcast((child, table, keys[order], np.log10(head.column("c").to_numpy()[order] + 1.0)))
+    model = docs.sparkSession.sparkContext.broadcast((pairs, keys[order], np.log10(head.column("c").to_numpy()[order] + 1.0)))
 
     scored = durable(
         source.withColumn("held_out", F.coalesce("held_out", F.lit(False))).withColumn("rid", F.monotonically_increasing_id())
-        .mapInArrow(lambda b: _score(b, model.value), "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, gain double, score double, tail array<struct<k:long,n:long>>")
+        .mapInArrow(lambda b: _score(b, model.value), "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, gain double, score double, pairs array<struct<k:long,n:long>>, tail array<struct<k:long,n:long>>")
     )
     tail = scored.select("rid", F.explode("tail").alias("t")).select("rid", "t.k", "t.n").join(words, "k")
     tail = tail.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("also"))
+    rare = scored.select("rid", F.explode("pairs").alias("t")).select("rid", "t.k", "t.n").join(costs.select("k", "cost"), "k")
+    rare = rare.groupBy("rid").agg(F.sum(F.col("n") * F.col("cost")).alias("rare"))
     base = F.col("gain") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(tokens + distinct + 1))
-    return scored.drop("tail").join(tail, "rid", "left").select(
+    whole = scored.drop("tail", "pairs").join(tail, "rid", "left").join(rare, "rid", "left").withColumn("score", F.col("score") + F.coalesce("rare", F.lit(0.0)))
+    return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
         (-F.col("score") * F.lit(math.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -90,6 +90,20 @@ def test_score_follows_the_definition(spark, documents):
         assert got[i] == pytest.approx(brute_score(train, t), rel=1e-4), t
 
 
+def test_every_context_has_its_node(spark, documents, monkeypatch):
+    """More contexts than any fixed table of old; also when most pairs are found by the join, in several steps."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(chr(97 + min(25, int(k))) for k in rng.exponential(5, 700))) for i in range(40)]
+    train = [t for i, t in rows if i < 38]
+    assert len({(d, t[max(0, k - d) : k]) for t in train for k in range(len(t)) for d in range(1, 6)}) > 40_000
+    for pairs, step in ((1 << 20, 1 << 18), (100, 1000)):
+        monkeypatch.setattr(lm, "PAIRS", pairs)
+        monkeypatch.setattr(lm, "STEP", step)
+        got = {r.doc_id: r.score for r in lm.score(documents(rows), F.col("doc_id") >= 38).collect()}
+        for i in (0, 38, 39):
+            assert got[i] == pytest.approx(brute_score(train, rows[i][1]), rel=1e-7)
+
+
 def test_kept_contexts_partition_the_data(monkeypatch):
     """With few nodes, the others of a node share one child and probabilities still sum to one."""
     rng = np.random.default_rng(1)
