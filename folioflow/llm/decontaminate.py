@@ -1,8 +1,9 @@
 """Benchmark leaks in documents, found with spaced seeds and verified with substitutions.
 
 A mask reads some positions of a 13-word stretch and ignores the others, so a word replaced
-at an ignored position does not hide the overlap. ``MASKS`` together hit every 13-word
-overlap with at most two substitutions. Test hashes are broadcast in blocks of bounded size
+at an ignored position does not hide the overlap. ``MASKS`` together hit every stretch of 13
+words or more of which 80 % agree: one of 26 or more has a part of 13 to 25 that agrees as
+well, and of those every placement of the substitutions is hit. Test hashes are broadcast in blocks of bounded size
 (``BLOCK_WORDS`` words of items a pass); a larger benchmark takes more passes. Each hit
 fixes an alignment of item and document, which is then compared word by word.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from folioflow.llm._text import NOT_ALNUM, Words, chunks, mix, prefix_sums, raw, span_hash
 
 #: Word positions that a seed reads.
-MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 6, 8, 9, 10), (0, 1, 2, 4, 5, 8, 9))
+MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 6, 8, 9, 10), (0, 1, 2, 4, 5, 8, 9), (0, 1, 2, 4, 10, 12, 13), (0, 1, 3, 4, 8, 10, 11), (0, 1, 3, 5, 6, 7, 8))
 OVERLAP = 13
 AGREE = 0.8
 SHORTEST = 5
@@ -75,32 +76,20 @@ def seed(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 def overlap(same: np.ndarray, whole: int) -> tuple[int, int, int] | None:
     """(start, length, matched) of the best stretch of an alignment, or None.
 
-    A stretch begins and ends with a match, is at least min(OVERLAP, whole) words long and
-    agrees in AGREE of them; the one with the most matches net of four times its mismatches
-    is taken (at AGREE or more that is never negative).
+    Of all stretches of at least min(OVERLAP, whole) words the one with the most matches net
+    of four times its mismatches is taken; that is negative exactly where fewer than AGREE of
+    the words agree.
     """
-    gain = np.cumsum(np.where(same, 1, -4))
-    floor = np.minimum.accumulate(np.concatenate(([0], gain)))[:-1]
-    end = int(np.argmax(gain - floor))
-    best = gain[end] - floor[end]
-    start = int(np.flatnonzero(np.concatenate(([0], gain))[: end + 1] == floor[end])[-1])
-    candidates = [(start, end + 1)] if best > 0 else []
     need = min(OVERLAP, whole)
-    # The densest stretch may be shorter than needed where substitutions are spread out.
-    spot = np.flatnonzero(same)
-    if len(spot) and (not candidates or end + 1 - start < need):
-        total = np.concatenate(([0], np.cumsum(same)))
-        last = np.minimum(spot + need, len(same))
-        full = last - spot == need
-        hit = total[last] - total[spot]
-        if full.any():
-            k = int(np.argmax(np.where(full, hit, -1)))
-            candidates = [(int(spot[k]), int(last[k]))]
-    for s, e in candidates:
-        matched = int(same[s:e].sum())
-        if e - s >= need and matched >= AGREE * (e - s):
-            return s, e - s, matched
-    return None
+    if len(same) < need:
+        return None
+    gain = np.concatenate(([0], np.cumsum(np.where(same, 1, -4))))
+    net = gain[need:] - np.minimum.accumulate(gain[: len(gain) - need])
+    end = int(np.argmax(net)) + need
+    if net[end - need] < 0:
+        return None
+    start = int(np.flatnonzero(gain[: end - need + 1] == gain[end] - net[end - need])[-1])
+    return start, end - start, int(same[start:end].sum())
 
 
 def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[int, int], tuple[int, ...]]:

@@ -76,6 +76,48 @@ def test_against_brute_force(spark, documents):
         assert best >= 11
 
 
+def qualifies(same, need):
+    """The stated rule, straight from its words."""
+    return any(5 * sum(same[s:e]) >= 4 * (e - s) for s in range(len(same)) for e in range(s + need, len(same) + 1))
+
+
+def test_masks_reach_every_stretch_of_the_rule():
+    """All placements for 13 to 25 words; a longer stretch has such a part."""
+    masks = [(sum(1 << o for o in m), m[-1] + 1) for m in d.MASKS]
+    for n, most in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        for bad in itertools.combinations(range(n), most):
+            left = (1 << n) - 1 - sum(1 << k for k in bad)
+            assert any(left >> s & m == m for m, width in masks for s in range(n - width + 1)), (n, bad)
+
+
+def test_overlap_is_the_best_of_all_stretches():
+    rng = np.random.default_rng(7)
+    for _ in range(1500):
+        same = rng.random(int(rng.integers(1, 45))) < rng.choice((0.6, 0.75, 0.8, 0.9))
+        got = d.overlap(same, 100)
+        assert (got is not None) == qualifies(same.tolist(), 13), same
+        if got:
+            start, length, matched = got
+            assert length >= 13 and matched == same[start : start + length].sum() and 5 * matched >= 4 * length
+
+
+def test_phrases_replaced(spark, documents):
+    """Equal (digits) and replaced (in brackets) runs of words; 80 % or more agree but for the last."""
+    cases = [("10", "[3]", "10"), ("8", "[4]", "8"), ("8", "[3]", "8", "[3]", "8"), ("4", "[1]", "4", "[1]", "4", "[1]", "4", "[1]", "4"), ("2", "[1]", "9", "[2]", "1"), ("8", "[5]", "8")]
+    items, rows = [], []
+    for i, case in enumerate(cases):
+        item, text = prose(500 + i, 60), []
+        for run in case:
+            n = int(run.strip("[]"))
+            text += [f"zz{i}"] * n if run[0] == "[" else item[len(text) : len(text) + n]
+        items.append((i, " ".join(item[: len(text)])))
+        rows.append((i, " ".join(prose(600 + i, 40) + text + prose(700 + i, 40))))
+    found = {(r.doc_id, r.item_id) for r in d.contaminated(documents(rows), bench(spark, items)).collect()}
+    assert found >= {(i, i) for i in range(5)}
+    assert (5, 5) not in found
+    assert {r.doc_id for r in d.clean(documents(rows), bench(spark, items)).collect()} == {i for i, _ in rows} - {i for i, _ in found}
+
+
 def test_edges(spark, documents):
     item = " ".join(prose(1, 20))
     odd = documents([(1, None), (2, ""), (None, item), (3, item), (3, item), (4, (item + " ") * 3000)]).withColumn("item_id", F.lit("x")).withColumn("start", F.lit(0))
