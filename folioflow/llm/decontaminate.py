@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._text import NOT_ALNUM, Words, chunks, mix, prefix_sums, raw, span_hash
+from folioflow.llm._text import NOT_ALNUM, Words, chunks, mix, raw
 
 #: Word positions that a seed reads.
 MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 6, 8, 9, 10), (0, 1, 2, 4, 5, 8, 9), (0, 1, 2, 4, 10, 12, 13), (0, 1, 3, 4, 8, 10, 11), (0, 1, 3, 5, 6, 7, 8))
@@ -29,6 +30,16 @@ BLOCK_WORDS = 2_000_000
 SCHEMA = "doc_id long, item_id long, start int, length int, matched int, item_words int"
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for a whole item of ``n`` words: whichever n // 5 of them are replaced, one reads none of those.
+
+    With e replacements, some e + 1 of 2 e + 1 parts are untouched.
+    """
+    e = n // 5
+    parts = [range(n * i // (2 * e + 1), n * (i + 1) // (2 * e + 1)) for i in range(2 * e + 1)]
+    return [tuple(o for part in some for o in part) for some in combinations(parts, e + 1)]
+
+
 class Index:
     """Seed hashes of some items, sorted, with a bitmap that settles most look-ups."""
 
@@ -40,17 +51,17 @@ class Index:
         place = np.arange(len(h)) - first[:-1][doc]
         for m, mask in enumerate(MASKS):
             ok = (place + mask[-1] < self.count[doc]) & (self.count[doc] >= OVERLAP)
-            keys.append(seed(h, np.flatnonzero(ok), m))
+            keys.append(seed(h, np.flatnonzero(ok), mask, m + 1))
             item.append(doc[ok])
             at.append(place[ok])
-        # Items too short for the masks count only as a whole, word for word.
+        # Items too short for the masks count only as a whole.
         self.short = sorted(set(self.count[(self.count >= SHORTEST) & (self.count < OVERLAP)].tolist()))
-        prefix = prefix_sums(h)
         for n in self.short:
             i = np.flatnonzero(self.count == n)
-            keys.append(span_hash(prefix, first[i], first[i] + n))
-            item.append(i)
-            at.append(np.zeros(len(i), np.int64))
+            for m, mask in enumerate(short_masks(n)):
+                keys.append(seed(h, first[i], mask, 100 * n + m))
+                item.append(i)
+                at.append(np.zeros(len(i), np.int64))
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.at = key[order], np.concatenate(item)[order], np.concatenate(at)[order]
@@ -66,9 +77,9 @@ class Index:
         return np.repeat(at, n), entry
 
 
-def seed(h: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
-    key = np.full(len(at), m + 1, np.uint64)
-    for offset in MASKS[m]:
+def seed(h: np.ndarray, at: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
+    key = np.full(len(at), salt, np.uint64)
+    for offset in mask:
         key = key * np.uint64(0x9E3779B97F4A7C15) + h[at + offset]
     return mix(key)
 
@@ -100,18 +111,17 @@ def _leaks(data: np.ndarray, offsets: np.ndarray, index: Index) -> dict[tuple[in
     place, diagonal, item = [], [], []
     for m, mask in enumerate(MASKS):
         at = np.flatnonzero(np.arange(len(h)) + mask[-1] < stop)
-        hit, entry = index.find(seed(h, at, m))
+        hit, entry = index.find(seed(h, at, mask, m + 1))
         place.append(doc[at[hit]])
         diagonal.append(at[hit] - index.at[entry])
         item.append(index.item[entry])
-    prefix = prefix_sums(h) if index.short else None
     for n in index.short:
         at = np.flatnonzero(np.arange(len(h)) + n <= stop)
-        hit, entry = index.find(span_hash(prefix, at, at + n))
-        ok = index.count[index.item[entry]] == n
-        place.append(doc[at[hit[ok]]])
-        diagonal.append(at[hit[ok]])
-        item.append(index.item[entry[ok]])
+        for m, mask in enumerate(short_masks(n)):
+            hit, entry = index.find(seed(h, at, mask, 100 * n + m))
+            place.append(doc[at[hit]])
+            diagonal.append(at[hit])
+            item.append(index.item[entry])
     triples = np.unique(np.stack([np.concatenate(place), np.concatenate(item), np.concatenate(diagonal)], 1), axis=0)
     best: dict[tuple[int, int], tuple[int, ...]] = {}
     for d, i, o in triples.tolist():
@@ -150,8 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A document
     leaks an item if some alignment of the two has a stretch of at least 13 words, or of the
-    whole item where that is shorter, in which 80 % of the words agree. Items of 5 to 12 words
-    must occur whole and unchanged; shorter ones prove nothing and never match. ``start`` and
+    whole item where that is shorter, in which 80 % of the words agree. Items of under 5 words
+    prove nothing and never match. ``start`` and
     ``length`` are words of the document. Null and empty texts or items, and items with a null
     id, match nothing; documents with a null id are reported with it. Repeated rows repeat.
     Extra columns are ignored. Without documents or items the result is empty.

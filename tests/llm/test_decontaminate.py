@@ -39,6 +39,21 @@ def test_short_items_count_whole(spark, documents):
     assert [(r.doc_id, r.item_id) for r in d.contaminated(documents(rows), bench(spark, items)).collect()] == [(1, 1)]
 
 
+def test_short_items_with_every_placement_of_substitutions(spark, documents):
+    """As many words as the rule allows are replaced, anywhere; one more, and it is no leak."""
+    items = {n: prose(800 + n, n) for n in range(5, 13)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for most in (n // 5, n // 5 + 1):
+            for bad in itertools.combinations(range(n), most):
+                text = [f"q{k}" if k in bad else w for k, w in enumerate(item)]
+                if most == n // 5:
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join([f"a{n}", *text, f"b{n}"])))
+    got = {(r.doc_id, r.item_id) for r in d.contaminated(documents(rows), bench(spark, [(n, " ".join(item)) for n, item in items.items()])).collect()}
+    assert got == want
+
+
 def test_blocks_of_items_give_the_same(spark, documents, monkeypatch):
     items = [(i, " ".join(prose(100 + i, 20))) for i in range(30)]
     docs = documents([(i, " ".join(prose(200 + i, 30)) + " " + items[i][1]) for i in range(30)])
