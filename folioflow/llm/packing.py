@@ -144,10 +144,11 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
     size = sum(t for _, t in best)
     bound = lower_bound(counts, capacity)
     total = sum(n * c for n, c in counts.items())
-    budget = nodes
     # Depth first over choices of filling; each level keeps what is left and the choices not yet tried.
+    # A first dive takes a node for each length at most, so every width needs nodes of its own.
     width = 1
-    while size > bound and budget > 0 and width <= 4:
+    while size > bound and width <= 4:
+        budget = nodes
         stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
         while stack and budget > 0 and size > bound:
             left, plan, used, wasted = stack.pop()

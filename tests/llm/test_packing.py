@@ -64,6 +64,13 @@ def test_completion_beats_best_fit():
     assert sum(t for _, t in packing.solve({6: 20, 4: 10, 3: 40}, 10)) == 30
 
 
+@pytest.mark.parametrize("seed", [24, 68, 111, 119, 128])
+def test_wider_searches_have_their_own_nodes(seed):
+    """With few nodes, the narrow search uses up what the wider ones would need."""
+    counts = dict(Counter(np.random.default_rng(seed).integers(15, 70, 60).tolist()))
+    assert sum(t for _, t in packing.solve(counts, 100, 60)) == packing.lower_bound(counts, 100)
+
+
 def test_encoder_equals_the_tokenizer():
     encode = packing.Encoder(PATH)
     texts = [" ".join(prose(i, 50)) for i in range(20)] + ["a  b", "x\n\n y", "don't 's", " \t  x", "“quoted” — dash", "<|endoftext|> hi", "ñ é 12ab ½ 漢字 ́x", "", "  ", "\r\n x\x0b y", "a\x85b", "tab\t\tx \n", "ÀÉÎ ßü", "1234567890", "it's we'll I'd"]
