@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +17,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session has a temporary folder; on a cluster, whose
+    executors do not see the driver's disk, that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if folder is None:
-        folder = _OWN.get(spark.sparkContext.applicationId)
+        set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = set_by_call.get() if set_by_call.isDefined() else None
     if folder is None:
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder
@@ -41,7 +49,16 @@ def durable(df: DataFrame) -> DataFrame:
     path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.option("compression", "zstd").parquet(at)
     jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._folder = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` table that nothing will read again."""
+    folder = getattr(df, "_folder", None)
+    if folder is not None:
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._spark import durable
+from folioflow.llm._spark import discard, durable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    written = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         hooked = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         target = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         jumped = durable(hooked.join(target, "component").select("node", "old", F.least("component", "next").alias("component")))
-        labels = jumped.select("node", "component")
+        discard(written)
+        labels, written = jumped.select("node", "component"), jumped
         if jumped.filter(F.col("old") != F.col("component")).isEmpty():
+            discard(both)
             return labels

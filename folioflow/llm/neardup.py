@@ -1,16 +1,24 @@
 """Near-duplicate classes from odd sketches of MinHash samples.
 
-Plan: documents with the same shingle set collapse to one row (hash aggregate). For each
-set, ``SAMPLES`` MinHash values give ``BANDS`` band keys and are folded into a parity bitmap
-(the odd sketch): sample i flips one bit, so the XOR of two bitmaps counts the samples that
-differ. Every bucket of a band first tests its members against two of them only (stars,
-linear in the bucket): bitmaps rule out most pairs, full shingle sets confirm the rest.
-Buckets whose members are then still in several components try the pairs across these
-components, in cells of at most ``BLOCK`` by ``BLOCK`` members, with the sets at hand, and
-emit links only. So no step emits the pairs of a group, and no link is skipped.
+Plan: rows with the same shingle set collapse to one *node* (hash aggregate). For each node,
+``SAMPLES`` MinHash values give ``BANDS`` band keys and are folded into a parity bitmap (the
+odd sketch): sample i flips one bit, so the XOR of two bitmaps counts the samples that
+differ. Bitmaps rule out most candidate pairs, full shingle sets confirm the rest.
+
+A bucket (nodes with one band key) first tests its members against one of them (a star,
+linear in the bucket). Centers are the least by a hash of the node alone, so a family has
+nearly the same center in all bands and ``distinct`` folds its pairs. The first star reads
+``FIRST_BANDS`` bands; confirmed links are contracted to components, and from then on only
+*mixed* buckets, whose members are in several components, are read, and only pairs across
+components tried: one more star over all bands, then what is left in cells. A cell holds up
+to ``BLOCK`` members outside the bucket's largest component and up to ``BLOCK`` of all its
+members, tries the pairs across components with the sets at hand, and emits at most one link
+a member. So no step emits the pairs of a group, a family that has become one component is
+never paired with itself, and no link between components is skipped.
 
 Miss probability for a pair at similarity 0.75: (1 - 0.75**4)**40 = 2.5e-7 for the bands;
-the bitmap rejects only estimates below ``REJECT``, six standard deviations under 0.75.
+the bitmap's estimate has a standard deviation of 0.039 there and rejects under ``REJECT``,
+6.5 of them lower.
 """
 
 from __future__ import annotations
@@ -31,8 +39,11 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
-REJECT = 0.45
-BLOCK = 1024
+REJECT = 0.5
+FIRST_BANDS = 4
+BLOCK = 512
+#: Bytes of unpacked sets that a task keeps.
+HELD = 32 << 20
 
 
 def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +98,12 @@ def estimate(differing_bits: np.ndarray) -> np.ndarray:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
+    """(documents, BANDS) keys; the last six bits are the number of the band."""
     s = samples.astype(np.uint64).reshape(len(samples), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), s.shape[:2])
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j])
-    return key
+    return (key & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,42 +165,55 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
+class _Sets:
+    """Shingle sets of packed texts, the last used ones kept up to ``HELD`` bytes."""
+
+    def __init__(self) -> None:
+        self.unpack, self.known, self.size = zstandard.ZstdDecompressor(), {}, 0
+
+    def __call__(self, name: int, packed: pa.BinaryScalar) -> np.ndarray:
+        found = self.known.get(name)
+        if found is None:
+            text = np.frombuffer(self.unpack.decompress(packed.as_py()), np.uint8)
+            found = shingle_sets(Words(text, np.array([0, len(text)]), WHITE, lower=True))[0]
+            if self.size > HELD:
+                self.known, self.size = {}, 0
+            self.known[name] = found
+            self.size += found.nbytes
+        return found
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links across components inside each cell, tried on the full sets.
 
-    A pair is tried in the first band that it shares, so once in all. Components that a link
-    joins count as one for the rest of the cell, so at most one link a member comes out.
+    ``side`` has bit 1 for members that are tried against all members with bit 2. A pair is
+    tried in the first band that it shares. Components that a link joins count as one for the
+    rest of the cell, so at most one link a member comes out.
     """
-    unpack = zstandard.ZstdDecompressor()
+    of = _Sets()
     for group in _groups(batches, "cell"):
         node, comp, n, side = (group.column(c).to_numpy(zero_copy_only=False).copy() for c in ("node", "component", "n_shingles", "side"))
+        packed = group.column("packed")
         data, _ = raw(group.column("signature"))
         data = data.reshape(len(node), -1)
         keys, bits = np.ascontiguousarray(data[:, : BANDS * 8]).view(np.int64), np.ascontiguousarray(data[:, BANDS * 8 :]).view(np.uint64)
-        band = int(np.flatnonzero(keys[0] == group.column("band")[0].as_py())[0])
-        sets: dict[int, np.ndarray] = {}
-
-        def of(k: int) -> np.ndarray:
-            if k not in sets:
-                text = np.frombuffer(unpack.decompress(group.column("packed")[k].as_py()), np.uint8)  # noqa: B023
-                sets[k] = shingle_sets(Words(text, np.array([0, len(text)]), WHITE, lower=True))[0]  # noqa: B023
-            return sets[k]  # noqa: B023
-
-        rows, cols = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        for r in rows.tolist():
+        band = group.column("band")[0].as_py() & 63
+        outside, cols = group.column("outside").to_numpy(zero_copy_only=False), np.flatnonzero(side & 2)
+        for r in np.flatnonzero(side & 1).tolist():
             c = cols[comp[cols] != comp[r]]
-            if side[r] == 0:
-                c = c[node[c] > node[r]]
+            # Two members outside the largest component meet twice.
+            c = c[~outside[c] | (node[c] > node[r])]
             c = c[(100 * np.minimum(n[c], n[r]) >= 75 * np.maximum(n[c], n[r]))]
             c = c[~(keys[c, :band] == keys[r, :band]).any(1)]
             z = np.bitwise_count(bits[c] ^ bits[r]).sum(1)
             keep = estimate(z) >= REJECT
             for k in c[keep][np.argsort(z[keep], kind="stable")].tolist():
-                if comp[k] == comp[r]:
-                    continue
-                x, y = of(r), of(k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= 75 * (len(x) + len(y) - both):
+                if comp[k] != comp[r] and _linked(of(node[r], packed[r]), of(node[k], packed[k])):
                     comp[comp == comp[k]] = comp[r]
                     yield pa.record_batch({"a": pa.array([min(node[r], node[k])]), "b": pa.array([max(node[r], node[k])])})
 
@@ -196,88 +221,91 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for rows, data, offsets in chunks(batches):
-        yield pa.record_batch({"node": rows.column("doc_id"), "text_hash": rows.column("text_hash"), "packed": pa.array([pack.compress(data[s:e]) for s, e in zip(offsets, offsets[1:])], pa.binary())})
+        yield pa.record_batch({"doc_id": rows.column("doc_id"), "text_hash": rows.column("text_hash"), "packed": pa.array([pack.compress(data[s:e]) for s, e in zip(offsets, offsets[1:])], pa.binary())})
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    known: dict[bytes, np.ndarray] = {}
-
-    def of(packed: bytes) -> np.ndarray:
-        if packed not in known:
-            if len(known) > 64:
-                known.clear()
-            data = np.frombuffer(unpack.decompress(packed), np.uint8)
-            known[packed] = shingle_sets(Words(data, np.array([0, len(data)]), WHITE, lower=True))[0]
-        return known[packed]
-
+    of = _Sets()
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("packed_a"), batch.column("packed_b")):
-            x, y = of(x.as_py()), of(y.as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+        a, b, x, y = (batch.column(c) for c in ("a", "b", "packed_a", "packed_b"))
+        keep = [_linked(of(i, x[r]), of(j, y[r])) for r, (i, j) in enumerate(zip(a.to_pylist(), b.to_pylist()))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Two documents are linked when the similarity of their sets of distinct five-word
-    shingles is at least 0.75; with one to four words the whole sequence is the only
-    shingle. Null, empty and wordless texts have an empty set and are linked with nothing;
-    their component is their own id. Rows with a null id keep a null component unless they
-    share a set with another row, and kept is then false. Repeated rows repeat in the
-    result with the same values. Extra columns are ignored; an empty table gives no rows.
+    """(doc_id, text_hash, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Two rows are linked when the similarity of their sets of distinct five-word shingles is
+    at least 0.75; with one to four words the whole sequence is the only shingle. Null, empty
+    and wordless texts have an empty set and are linked with nothing; their component is
+    their own id. ``component_id`` is the smallest doc_id reachable; ``kept`` says that a
+    row's id is that one. Rows with a null id keep a null component unless they share a set
+    with another row, and kept is then false. An id may have several texts: each row is
+    classed by its own, and ``text_hash`` (xxhash64 of the text) tells them apart. Repeated
+    rows repeat in the result with the same values. Extra columns are ignored; an empty table
+    gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sets = durable(source.mapInArrow(_sets, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, signature binary"))
+    # Written at once, so that each set keeps the number it is given here.
     reps = durable(
         sets.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"), F.first("signature").alias("signature"))
-        .select(F.col("m.doc_id").alias("node"), F.col("m.text_hash").alias("text_hash"), "n_shingles", "signature", "k1", "k2")
+        .select(F.monotonically_increasing_id().alias("node"), F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"), "n_shingles", "signature", "k1", "k2")
     )
     rows = reps.select("node", "signature").mapInArrow(_bands, "band long, node long")
-    buckets = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), "node")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    members = durable(rows.join(buckets.select("band", F.col("c.node").alias("center"), "size"), "band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    members = durable(rows.join(shared, "band"))
     sketch = reps.select("node", "n_shingles", "signature")
-    needed = reps.select("node", "text_hash").join(members.select("node").distinct(), "node")
-    packed = source.mapInArrow(_pack_texts, "node long, text_hash long, packed binary").join(needed, ["node", "text_hash"], "left_semi")
-    texts = durable(packed.dropDuplicates(["node", "text_hash"]).select("node", "packed"))
-
-    def side(name: str, table: DataFrame) -> DataFrame:
-        return table.select(*(F.col(c).alias({"node": name}.get(c, f"{c}_{name}")) for c in table.columns))
+    needed = reps.select("node", "doc_id", "text_hash").join(members.select("node").distinct(), "node")
+    texts = durable(source.mapInArrow(_pack_texts, "doc_id long, text_hash long, packed binary").join(needed, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "packed"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links: sketches first, then full sets of the rest."""
-        # Written between the two Python steps: in one stage each would hold a worker of its own.
-        pairs = durable(pairs.distinct().join(side("a", sketch), "a").join(side("b", sketch), "b").mapInArrow(_filter_pairs, "a long, b long"))
-        return durable(pairs.join(side("a", texts), "a").join(side("b", texts), "b").mapInArrow(_confirm, "a long, b long"))
-
-    # Two stars a bucket, around members drawn by a hash, so that bands differ in their centers.
-    links = confirm(members.filter("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")))
-    named = members.filter("size > 2").join(components(links), "node", "left").select("band", "size", "node", F.coalesce("component", "node").alias("component"))
-    again = named.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band"), "node", "component")).alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    star = named.join(again.select("band", F.col("c.node").alias("center"), F.col("c.component").alias("of")), "band").filter("component <> of")
-    links = links.unionByName(confirm(star.select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b"))))
-    labels = components(links)
-
-    # Buckets that still hold several components try the pairs across them, in blocks.
-    named = members.filter("size > 2").join(labels, "node", "left").select("band", "size", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    left = named.join(mixed, "band").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "band", "node", "component",
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for table, columns, check in ((sketch, ("n_shingles", "signature"), _filter_pairs), (texts, ("packed",), _confirm)):
+            for end in ("a", "b"):
+                pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+            # Written between the two Python steps: in one stage each would hold a worker of its own.
+            pairs = durable(pairs.mapInArrow(check, "a long, b long"))
+        return pairs
+
+    def star(rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each mixed bucket's center and the members in other components."""
+        spot = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "component")
+        centers = rows.groupBy("band").agg(F.min(spot).alias("c"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+        centers = centers.select(F.col("band").alias("at"), F.col("c.node").alias("a"), F.col("c.component").alias("of"))
+        return rows.join(centers, (F.col("band") == F.col("at")) & (F.col("component") != F.col("of"))).select("a", F.col("node").alias("b"))
+
+    def named(links: DataFrame | None) -> DataFrame:
+        """Members with the component that they are in by ``links``."""
+        if links is None:
+            return members.withColumn("component", F.col("node"))
+        return members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    links = confirm(star(named(None).filter(F.col("band").bitwiseAND(63) < FIRST_BANDS), 0))
+    links = links.unionByName(confirm(star(named(links), 1)))
+
+    # Buckets that are still mixed try what is outside their largest component against all.
+    left = named(links)
+    parts = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    left = left.join(parts.select("band", F.col("most.component").alias("main"), F.col("most.n").alias("in_main")), "band")
+    outside = F.col("component") != F.col("main")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    left = left.select("band", "node", "component", outside.alias("outside"), blocks(F.col("size") - F.col("in_main")).alias("rows"), blocks(F.col("size")).alias("columns"))
+    left = left.withColumn("i", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int")).withColumn("j", F.pmod(F.xxhash64("node"), F.col("columns")).cast("int"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    spot = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    # A member outside stands in all cells of its row and of its column, once where these cross.
+    own = F.when(F.col("outside"), F.transform(count(F.col("columns")), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.when((j == F.col("j")), 3).otherwise(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    others = F.transform(F.filter(count(F.col("rows")), lambda i: ~F.col("outside") | (i != F.col("i"))), lambda i: spot(i, F.col("j"), 2))
+    cells = left.withColumn("at", F.explode(F.concat(own, others))).select(F.xxhash64("band", "at.i", "at.j").alias("cell"), "band", "node", "component", "outside", F.col("at.side").alias("side"))
     more = cells.join(sketch, "node").join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_within, "a long, b long")
     more = durable(more.distinct())
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
 
-    final = reps.select("k1", "k2", "n_shingles", "node").join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = components(links.unionByName(more))
+    least = labels.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named_sets = labels.join(least, "component").select("node", "least")
+    final = reps.select("k1", "k2", "n_shingles", "node", F.col("doc_id").alias("own")).join(named_sets, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("least", "own").alias("component"))
+    out = sets.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(final, ["k1", "k2", "n_shingles"], "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-

@@ -60,6 +60,30 @@ def test_one_wide_family(spark, documents, monkeypatch):
     assert run(documents(rows)) == brute(rows)
 
 
+def test_ids_with_several_texts(spark, documents, monkeypatch):
+    """Each row is classed by its own text, whatever else stands under its id."""
+    for block in (16, 512):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        members = list(enumerate(family(6, 150, 120, 6)))
+        others = [(i, " ".join(prose(7000 + i, 30))) for i, _ in members]
+        got = neardup.near_duplicates(documents(members + others)).collect()
+        by_row = {(r.doc_id, r.n_shingles == 26): (r.component_id, r.kept) for r in got}
+        assert len(got) == 300
+        alone = {i: c for i, _, c, _ in brute(members)}
+        for i, _ in members:
+            assert by_row[i, True] == (i, True)
+            assert by_row[i, False] == (alone[i], alone[i] == i)
+
+
+def test_tight_family_and_strangers_in_its_buckets(spark, documents, monkeypatch):
+    """One large component and members under the threshold that share its buckets."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    tight = family(8, 60, 120, 1)
+    loose = family(8, 40, 120, 14)
+    rows = list(enumerate(tight + loose))
+    assert run(documents(rows)) == brute(rows)
+
+
 def test_a_chain(spark, documents):
     words = prose(3, 100)
     rows = []
@@ -83,6 +107,18 @@ def test_sketches_estimate_similarity():
         assert abs(neardup.estimate(np.bitwise_count(bits[0] ^ bits[1]).sum()) - j) < 0.2
 
 
+def test_no_pair_at_the_threshold_is_rejected():
+    """Estimates of 20,000 pairs at similarity 0.75 and 0.78: unbiased, close, and none under the limit."""
+    rng = np.random.default_rng(3)
+    for j in (0.75, 0.78):
+        same = rng.random((20_000, neardup.SAMPLES)) < j
+        a, b = (rng.integers(0, 2**32, same.shape, dtype=np.uint32) for _ in range(2))
+        x, y = (neardup.odd_sketch(v).view(np.uint64) for v in (a, np.where(same, a, b)))
+        got = neardup.estimate(np.bitwise_count(x ^ y).sum(1))
+        assert abs(got.mean() - j) < 0.003 and got.std() < 0.045
+        assert (got >= neardup.REJECT).all()
+
+
 def test_edges(spark, documents):
     text = " ".join(prose(1, 40))
     rows = [(1, None), (2, ""), (3, "  "), (4, text), (4, text), (5, text.upper()), (6, "w " * 30_000), (7, "w"), (8, "w w w w w")]
