@@ -16,9 +16,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; rows without an id stay."""
-    gone = neardup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each class.
+
+    Rows go one by one: where an id has several texts, each is classed by its own. Rows
+    without an id stay, and so do rows that repeat the id of their class's first document.
+    """
+    gone = neardup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id", "text_hash").distinct()
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
