@@ -2,7 +2,8 @@
 
 A text becomes ``array<struct<text, translatable>>`` inside its own row: no shuffle, no UDF.
 Sentence ends are one regular expression whose look-behinds carry the abbreviation rules, so
-the JVM finds all spans of a paragraph in one pass.
+the JVM finds all spans of a paragraph in one pass. Look-behinds are bounded; the rare
+paragraph whose dots and dotted letters run on beyond them is folded over its spans instead.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ SPACE = r"[\s\x1c-\x1f]"
 _CLOSE = "[\"'”’)\\]»]*"
 _DANDA_CLOSE = "[\"'”’)\\]]*"
 _OPEN = "(?:^|[\\s\\x1c-\\x1f(\\[\"'])"
-_NEXT = f"(?={SPACE}*\\z|{SPACE}+[\"'“‘(\\[«\\u0900-\\u097F0-9A-ZÀ-Þ])"
+_NEXT = f"(?={SPACE}*\\z|{SPACE}+[\"'“‘(\\[«\\u0900-\\u097F\\p{{Nd}}A-ZÀ-Þ])"
 _ENDS = f"(?={SPACE}|\\z)"
 _WORDS = "|".join(sorted(ABBREVIATIONS))
+#: Leading dots and dotted letters that the look-behinds see.
+_DOTS, _LETTERS = 8, 16
 #: A full stop counts after a digit; otherwise not after an initial, an abbreviation or letters set apart by dots.
 _DOT = (
-    "(?:(?<=[0-9])|"
-    f"(?<![0-9])(?<!{_OPEN}[A-ZÀ-Þ])(?<!{_OPEN}\\.{{0,8}}(?i:{_WORDS}))(?<!{_OPEN}\\.{{0,8}}(?:[\\p{{L}}\\p{{N}}_]\\.){{1,64}}[\\p{{L}}\\p{{N}}_]))"
+    "(?:(?<=\\p{Nd})|"
+    f"(?<!\\p{{Nd}})(?<!{_OPEN}[A-ZÀ-Þ])(?<!{_OPEN}\\.{{0,{_DOTS}}}(?i:{_WORDS}))(?<!{_OPEN}\\.{{0,{_DOTS}}}(?:[\\p{{L}}\\p{{N}}_]\\.){{1,{_LETTERS}}}[\\p{{L}}\\p{{N}}_]))"
 )
+#: Paragraphs that the look-behinds cannot judge.
+_BEYOND = f"\\.{{{_DOTS + 1}}}|(?:[\\p{{L}}\\p{{N}}_]\\.){{{_LETTERS + 1}}}"
 BOUNDARY = f"(?<![.!?…])(?:{_DOT}\\.[.!?…]*{_CLOSE}{_NEXT}|[!?…][.!?…]*{_CLOSE}{_ENDS})|(?<![।॥])[।॥]+{_DANDA_CLOSE}"
 SENTENCE = f"(?sU).*?(?=[.!?…।॥])(?:{BOUNDARY})|.+"
 PARAGRAPH = r"[\r\n]+|[^\r\n]+"
@@ -50,7 +55,35 @@ def paragraphs(text: Column) -> Column:
 
 def sentences(paragraph: Column) -> Column:
     """Contiguous spans that cover a paragraph; each ends at a boundary or at the paragraph's end."""
-    return F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0))
+    return F.when(paragraph.rlike(_BEYOND), folded_sentences(paragraph)).otherwise(F.regexp_extract_all(paragraph, F.lit(SENTENCE), F.lit(0)))
+
+
+def folded_sentences(paragraph: Column) -> Column:
+    """``sentences`` by a fold over the paragraph's spans up to each run of terminators, without limits."""
+    run = f"[.!?…]+{_CLOSE}|[।॥]+{_DANDA_CLOSE}"
+    separator = "[\\s\\x1c-\\x1f(\\[\"']"
+    spans = F.regexp_extract_all(paragraph, F.lit(f"(?sU)[^.!?…।॥]*+(?:{run})|[^.!?…।॥]++"), F.lit(0))
+    steps = F.transform(spans, lambda t, i: F.struct(t.alias("span"), F.get(spans, i + 1).alias("next")))
+
+    def last_word(before: Column) -> Column:
+        return F.element_at(F.split(before, f"(?U){separator}", -1), -1)
+
+    def step(s: Column, x: Column) -> Column:
+        end = F.regexp_extract(x["span"], f"(?sU)^[^.!?…।॥]*+({run})\\z", 1)
+        word = last_word(F.concat(s["word"], F.substring(x["span"], F.lit(1), F.length(x["span"]) - F.length(end))))
+        bare = F.regexp_replace(F.lower(word), "^\\.+|\\.+\\z", "")
+        after = F.coalesce(x["next"], F.lit(""))
+        fresh = after.rlike(f"(?U)^{SPACE}*+(?:\\z|[\"'“‘(\\[«\u0900-\u097F\\p{{Nd}}A-ZÀ-Þ])")
+        dotted = word.rlike("^[A-ZÀ-Þ]\\z") | bare.isin(*ABBREVIATIONS) | bare.rlike("^(?:[\\p{L}\\p{N}_]\\.)++[\\p{L}\\p{N}_]\\z")
+        ends = (
+            F.when(end == "", False).when(end.rlike("^[।॥]"), True).when((after != "") & ~after.rlike(f"(?U)^{SPACE}"), False).when(~end.startswith("."), True)
+            .when(word.rlike("\\p{Nd}\\z"), fresh).when(dotted, False).otherwise(fresh)
+        )
+        now = F.concat(s["open"], x["span"])
+        return F.struct(F.when(ends, F.concat(s["done"], F.array(now))).otherwise(s["done"]).alias("done"), F.when(ends, F.lit("")).otherwise(now).alias("open"), last_word(F.concat(word, end)).alias("word"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("word"))
+    return F.aggregate(steps, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
 def _append(chunks: Column, text: Column, translatable: bool = True) -> Column:

@@ -23,7 +23,7 @@ BOLD, ITALIC = 16, 2
 LEAST_TEXT = 12
 
 #: Fixed value: how a line that opens a list item begins.
-LIST_MARKER = r"^([•·‣▪◦⁃∙*]|[-–—]\s|\(?[0-9]{1,2}[.)]\s|\(?[a-z][.)]\s|\(?[ivx]{1,4}[.)]\s)"
+LIST_MARKER = r"(?U)^([•·‣▪◦⁃∙*]|[-–—][\s\x1c-\x1f]|\(?\p{Nd}{1,2}[.)][\s\x1c-\x1f]|\(?[a-z][.)][\s\x1c-\x1f]|\(?[ivx]{1,4}[.)][\s\x1c-\x1f])"
 
 
 def strip(text: Column) -> Column:

@@ -154,6 +154,8 @@ def ink_colour(spark: SparkSession, sf: str) -> DataFrame:
     return colour.ink(boxes, colour.background(boxes, pixels, 2.0), pixels, 2.0).select("page", "box_id", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
+_GAP = r"[\s\x1c-\x1f\p{Z}]"
+_MARKER = rf"^([•·‣▪◦⁃∙*]|[-–—]{_GAP}|\(?\p{{Nd}}{{1,2}}[.)]{_GAP}|\(?[a-z][.)]{_GAP}|\(?[ivx]{{1,4}}[.)]{_GAP})"
 _LINES_OF = r"ln AS (SELECT doc_id, unnest(range(len(ls))) AS r, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"
 _GLYPHS = _LINES_OF + r""",
 ch AS (SELECT doc_id, r, unnest(range(len(cs))) AS i, unnest(cs) AS text FROM (SELECT doc_id, r, regexp_extract_all(line, '(?s).') AS cs FROM ln)),
@@ -167,10 +169,10 @@ n AS (SELECT *, (sum(fresh::INT) OVER (PARTITION BY doc_id, page_index ORDER BY
 lines AS (SELECT doc_id, page_index, line_id, string_agg(CASE WHEN NOT fresh AND i - before > 1 THEN ' ' ELSE '' END || text, '' ORDER BY pos) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
   median(size) AS font_size, min(color) AS color, bool_and(bold) AS bold, bool_and(italic) AS italic FROM n GROUP BY ALL)"""
 _NUMBERED = _LINES + r""",
-p AS (SELECT *, regexp_matches(text, '^([•·‣▪◦⁃∙*]|[-–—]\s|\(?[0-9]{1,2}[.)]\s|\(?[a-z][.)]\s|\(?[ivx]{1,4}[.)]\s)') AS item, lag(font_size) OVER w AS s1, lag(bold) OVER w AS b1, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1
+p AS (SELECT *, regexp_matches(text, '@MARKER@') AS item, lag(font_size) OVER w AS s1, lag(bold) OVER w AS b1, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1
   FROM lines WINDOW w AS (PARTITION BY doc_id, page_index ORDER BY line_id)),
 numbered AS (SELECT * EXCLUDE (s1, b1, px0, px1, py0, py1, item), (sum((s1 IS NULL OR item OR bold <> b1 OR greatest(font_size, s1) / least(font_size, s1) >= 1.35 OR NOT (y0 - py1 > py0 - py1 AND y0 - py1 < 0.85 * 1.2 * s1)
-    OR NOT ((least(x1, px1) - greatest(x0, px0)) / least(x1 - x0, px1 - px0) > 0.4))::INT) OVER (PARTITION BY doc_id, page_index ORDER BY line_id) - 1)::INT AS block_id FROM p)"""
+    OR NOT ((least(x1, px1) - greatest(x0, px0)) / least(x1 - x0, px1 - px0) > 0.4))::INT) OVER (PARTITION BY doc_id, page_index ORDER BY line_id) - 1)::INT AS block_id FROM p)""".replace("@MARKER@", _MARKER)
 _BLOCKS = _NUMBERED + r""",
 q AS (SELECT *, y0 - lag(y0) OVER (PARTITION BY doc_id, page_index, block_id ORDER BY y0, line_id) AS gap, line_id = max(line_id) OVER (PARTITION BY doc_id, page_index, block_id) AS last FROM numbered),
 heavy AS (SELECT doc_id, page_index, block_id, arg_max(color, (w, -f)) AS color FROM (SELECT doc_id, page_index, block_id, color, sum(length(text)) AS w, min(line_id) AS f FROM numbered GROUP BY ALL) GROUP BY ALL),
@@ -244,7 +246,7 @@ SELECT doc_id, page_index, recognised, needs AND NOT av AS warned, CASE WHEN rec
     "page_range": f"WITH {_PAGES}, c AS (SELECT doc_id, page_index, (max(page_index) OVER (PARTITION BY doc_id) + 1)::INT AS page_count FROM pg) SELECT doc_id, page_index, page_count FROM c WHERE page_count < 2 OR page_index BETWEEN 1 AND 2",
     "page_lines": f"WITH {_LINES} SELECT * FROM lines",
     "page_blocks": f"WITH {_NUMBERED} SELECT doc_id, page_index, line_id, block_id FROM numbered",
-    "list_items": f"WITH {_LINES_OF} SELECT doc_id, r::INT AS line_no, line FROM ln WHERE regexp_matches(regexp_replace(line, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g'), '^([•·‣▪◦⁃∙*]|[-–—]\\s|\\(?[0-9]{{1,2}}[.)]\\s|\\(?[a-z][.)]\\s|\\(?[ivx]{{1,4}}[.)]\\s)')",
+    "list_items": f"WITH {_LINES_OF} SELECT doc_id, r::INT AS line_no, line FROM ln WHERE regexp_matches(regexp_replace(line, '^{_GAP}+|{_GAP}+$', '', 'g'), '{_MARKER}')",
     "block_text": f"WITH {_BLOCKS} {_KEY}, text, n_lines FROM blocks",
     "block_style": f"WITH {_BLOCKS} {_KEY}, x0, y0, x1, y1, round(font_size, 6) AS font_size, round(line_height, 6) AS line_height, color, bold, italic FROM blocks",
     "block_alignment": f"WITH {_BLOCKS} {_KEY}, alignment FROM blocks",

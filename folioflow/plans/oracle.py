@@ -28,14 +28,14 @@ side AS (
   SELECT *, substring(p, 1, e - length(run)) AS before, substring(p, e + 1) AS after FROM pos),
 word AS (
   SELECT *, lower(regexp_extract(before, '[^\\s\\x1c-\\x1f(\\["'']*$')) AS w,
-    regexp_matches(after, '^[\\s\\x1c-\\x1f]*$') OR regexp_matches(after, '^[\\s\\x1c-\\x1f]*["''“‘(\\[«ऀ-ॿ0-9A-ZÀ-Þ]') AS fresh FROM side),
+    regexp_matches(after, '^[\\s\\x1c-\\x1f]*$') OR regexp_matches(after, '^[\\s\\x1c-\\x1f]*["''“‘(\\[«ऀ-ॿ\\p{{Nd}}A-ZÀ-Þ]') AS fresh FROM side),
 cut AS (
   SELECT *, CASE
     WHEN run = '' THEN false
     WHEN regexp_matches(run, '^[।॥]') THEN true
     WHEN after <> '' AND NOT regexp_matches(after, '^[\\s\\x1c-\\x1f]') THEN false
     WHEN substring(run, 1, 1) <> '.' THEN true
-    WHEN regexp_matches(before, '[0-9]$') THEN fresh
+    WHEN regexp_matches(before, '\\p{{Nd}}$') THEN fresh
     WHEN regexp_matches(before, '(^|[\\s\\x1c-\\x1f(\\["''])[A-ZÀ-Þ]$') THEN false
     WHEN trim(w, '.') IN ({_WORDS}) THEN false
     WHEN regexp_full_match(trim(w, '.'), '([\\p{{L}}\\p{{N}}_]\\.)+[\\p{{L}}\\p{{N}}_]') THEN false

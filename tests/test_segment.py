@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.functions.segment import reassemble, segment, split_long
+from folioflow.functions.segment import _BEYOND, SENTENCE, folded_sentences, reassemble, segment, split_long
 
 TEXTS = [
     "", "One sentence only.", "One. Two! Three?", "  ragged   spaces .  Here ", "a\nb", "a\n\nb", "\n\nlead", "tail\n\n", "no terminator", "line\r\nnext\r\n", "यह है। वह है।", "   ",
@@ -27,9 +27,10 @@ def test_null_and_reassemble(spark):
 @pytest.mark.parametrize(
     ("text", "count"),
     [
-        ("One. Two! Three?", 3), ("A heading\nSome body text.", 2), ("Dr. Smith went home.", 1), ("See Fig. 4 for it.", 1), ("It is 3.5 percent of all.", 1), ("Go to www.example.com now.", 1),
+        ("One. Two! Three?", 3), ("Short title\nThen a plain line.", 2), ("Dr. Smith went home.", 1), ("See Fig. 4 for it.", 1), ("It is 3.5 percent of all.", 1), ("Go to www.example.com now.", 1),
         ("J. R. R. Tolkien wrote it.", 1), ("Das gilt bzw. Das gilt nicht.", 1), ("Es sind ca. neun.", 1), ('"Stop now." She left.', 2), ("Clause 4. Januar", 2), ("यह है। वह है।", 2), ("z.B. Das hier.", 1),
         ("", 0), (" \t", 0), ("so!no", 1), ("! x!! y", 3), ("... And", 2), ("a.\u2028", 1), ("what?! Yes", 2),
+        ("मान ४.५. अगला वाक्य।", 2), ("Punkt 4. ४ Seiten", 2), ("x" + ".x" * 70 + ". Next", 1), ("." * 30 + "etc. Next one", 1), ("." * 30 + "word. Next one", 2), ("a." * 40 + " Next? Yes.", 2),
     ],
 )
 def test_boundaries(spark, text, count):
@@ -37,6 +38,16 @@ def test_boundaries(spark, text, count):
     assert sum(p.translatable for p in ps) == count
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="aB1४.!?… ;\"')([»ä।\u00a0\x1c", max_size=40), min_size=40, max_size=40))
+def test_fold_and_expression_agree(spark, texts):
+    texts = [t for t in texts if t] + ["e.g. This. Dr. Who z.B. u.s.w. End. 4. Mai 4. mai (J. X) \"Q.\" No.", "See Fig. 4. Then। e.g.। X. y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", folded_sentences(F.col("t")).alias("a"), F.regexp_extract_all("t", F.lit(SENTENCE), F.lit(0)).alias("b"), F.col("t").rlike(_BEYOND).alias("far"))
+    for r in rows.collect():
+        assert "".join(r.a) == r.t
+        assert r.far or r.a == r.b, r.t
+
+
 def test_closing_quote_stays(spark):
     (ps,) = pieces(spark, ['"Stop now." She left.'])
     assert [p.text for p in ps if p.translatable] == ['"Stop now."', "She left."]
