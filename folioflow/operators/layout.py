@@ -1,14 +1,19 @@
 """Glyphs to lines to blocks.
 
 Where a line or block ends depends on the line or block so far (a running mean, a median of
-gaps), so these two decisions are folds over one page, run by Arrow batches per page. They
-only number the rows; text, boxes, sizes and styles are DataFrame aggregates.
+gaps), so these two decisions are folds over one page. A page is one row with its glyphs, or
+its lines, in an array; Arrow batches hold many pages. Line breaks are looked for run by run
+of glyphs at one height, and line texts, boxes, sizes and styles are array passes over the
+whole batch. The fold over lines only numbers blocks; what a block holds is an aggregate.
 """
 
 from __future__ import annotations
 
-from statistics import median
+import math
+from bisect import insort
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +55,6 @@ def normal_box(box: Column) -> Column:
     return F.when(finite, F.struct(*parts))
 
 
-def with_defaults(glyphs: DataFrame) -> DataFrame:
-    return glyphs.fillna({"size": 0.0, "font": "", "color": 0, "flags": 0})
-
-
 def bold(flags: Column, font: Column) -> Column:
     return (flags.bitwiseAND(BOLD) != 0) | F.lower(font).contains("bold")
 
@@ -80,117 +81,198 @@ def box_of() -> list[Column]:
 LINE = "doc_id long, page_index int, line_id int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, color int, bold boolean, italic boolean"
 
 
-class _Line:
-    """A line being read: its glyphs so far, their running mean and right edge."""
-
-    def __init__(self, x0: float, y0: float, x1: float, y1: float):
-        self.box = [x0, y0, x1, y1]
-        self.mean, self.n = 0.0, 0
-        self.text: list[str] = []
-        self.space = False
-        self.sizes: list[float] = []
-        self.heights: list[float] = []
-        self.colors: dict[int, int] = {}
-        self.bold = self.italic = 0
-
-    def add(self, text: str, x0: float, y0: float, x1: float, y1: float, gap: float) -> None:
-        box = self.box
-        if self.n and not self.text[-1].endswith(" ") and (self.space or x0 - box[2] > gap):
-            self.text.append(" ")
-        self.text.append(text)
-        self.space = False
-        self.n += 1
-        self.mean += ((y0 + y1) / 2 - self.mean) / self.n
-        box[0], box[1], box[2], box[3] = min(box[0], x0), min(box[1], y0), max(box[2], x1), max(box[3], y1)
-
-    def row(self) -> tuple | None:
-        text = "".join(self.text).strip()
-        size = median(self.sizes) if self.sizes else 0.92 * median(self.heights)
-        # The most frequent colour; a dictionary keeps the first seen first.
-        color = max(self.colors, key=self.colors.__getitem__)
-        return (text, *self.box, max(size, 1.0), color, self.bold / self.n > MAJORITY, self.italic / self.n > MAJORITY) if text else None
-
-
-def page_lines(page: pa.Table) -> pa.Table:
-    """Line rows of one page's glyphs.
-
-    A visible glyph begins a line where it leaves the running mean of the line's middles by
-    more than half the page's median glyph height, or lies beyond its right edge by more than
-    a column break. White space never begins a line.
+GLYPHS = "array<struct<pos:long,text:string,x0:double,y0:double,x1:double,y1:double,size:double,font:string,color:int,flags:int>>"
+
+
+def pages(glyphs: DataFrame) -> DataFrame:
+    """(doc_id, page_index, glyphs) from one row a glyph, in order of ``pos``: one shuffle. A source of whole pages gives this itself."""
+    fields = [f.split(":")[0] for f in GLYPHS.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    return glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(GLYPHS).alias("glyphs"))
+
+
+def _medians(group: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Median of the values of each of ``n`` groups; nan for groups without any."""
+    order = np.lexsort((value, group))
+    value, count = value[order], np.bincount(group, minlength=n)
+    first = np.cumsum(count) - count
+    if not len(value):
+        return np.full(n, math.nan)
+    low = np.minimum(first + np.maximum(count - 1, 0) // 2, len(value) - 1)
+    high = np.minimum(first + count // 2, len(value) - 1)
+    return np.where(count > 0, (value[low] + value[high]) / 2, math.nan)
+
+
+def _by_value(column: pa.Array, test) -> np.ndarray:
+    """``test`` of every string, worked out once for each distinct one."""
+    coded = column.dictionary_encode()
+    return np.array([test(t or "") for t in coded.dictionary.to_pylist()] or [False])[coded.indices.fill_null(0).to_numpy(zero_copy_only=False)] if len(column) else np.zeros(0, bool)
+
+
+def _breaks(x0: np.ndarray, x1: np.ndarray, middle: np.ndarray, page: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which visible glyphs begin a line, and the right edge of the line before each glyph.
+
+    A glyph begins a line where it leaves the running mean of the line's middles by more than
+    half the page's median glyph height, or lies beyond its right edge by more than a column
+    break. Glyphs of one height in a row leave the mean together or not at all.
     """
-    page = page.sort_by("pos")
-    ids = [page.column(c)[0].as_py() for c in PAGE]
-    x0s, x1s, y0s, y1s, texts, sizes, colors, heavy, slanted = (page.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1", "text", "size", "color", "bold", "italic"))
-    unit = float(median([b - a for a, b in zip(y0s, y1s)]))
-    high, wide, gap = SAME_LINE * unit, COLUMN_BREAK * unit, WORD_SPACE * unit
-    done: list[_Line] = []
-    line: _Line | None = None
-    for x0, y0, x1, y1, text, size, color, b, i in zip(x0s, y0s, x1s, y1s, texts, sizes, colors, heavy, slanted):
-        if not text or text.isspace():
-            if line is not None:
-                line.space = True
-            continue
-        if line is None or abs((y0 + y1) / 2 - line.mean) > high or x0 - line.box[2] > wide:
-            line = _Line(x0, y0, x1, y1)
-            done.append(line)
-        line.add(text, x0, y0, x1, y1, gap)
-        if size > 0:
-            line.sizes.append(size)
-        line.heights.append(y1 - y0)
-        line.colors[color] = line.colors.get(color, 0) + 1
-        line.bold += b
-        line.italic += i
-    rows = [(*ids, n, *r) for n, r in enumerate(x.row() for x in done) if r]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5, pa.int32(), pa.bool_(), pa.bool_()]
+    n = len(x0)
+    new, reach = np.zeros(n, bool), np.zeros(n)
+    if not n:
+        return new, reach
+    changes = np.flatnonzero((middle[1:] != middle[:-1]) | (page[1:] != page[:-1])) + 1
+    mean, count, edge, last = 0.0, 0, -math.inf, -1
+    for a, b in zip([0, *changes.tolist()], [*changes.tolist(), n]):
+        at, m = page[a], float(middle[a])
+        wide = COLUMN_BREAK * unit[at]
+        if at != last or abs(m - mean) > SAME_LINE * unit[at]:
+            new[a], edge, count, last = True, -math.inf, 0, at
+        while a < b:
+            tops = np.maximum.accumulate(x1[a:b])
+            before = np.empty(b - a)
+            before[0] = edge
+            np.maximum(tops[:-1], edge, out=before[1:])
+            far = x0[a:b] - before > wide
+            far[0] &= not new[a]
+            k = int(far.argmax()) if far.any() else b - a
+            reach[a : a + k] = before[:k]
+            if k:
+                edge = max(edge, float(tops[k - 1]))
+                mean, count = (mean * count + m * k) / (count + k), count + k
+            a += k
+            if a < b:
+                new[a], edge, count = True, -math.inf, 0
+    return new, reach
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in LINE.split(", ")]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+    for batch in batches:
+        lists = batch.column("glyphs")
+        page = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+        glyph = lists.flatten()
+        get = lambda name: glyph.field(name)  # noqa: B023, E731
+        number = lambda name: get(name).fill_null(math.nan).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        whole = lambda name: get(name).fill_null(0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        xa, ya, xb, yb = (number(c) for c in ("x0", "y0", "x1", "y1"))
+        x0, y0, x1, y1 = np.minimum(xa, xb), np.minimum(ya, yb), np.maximum(xa, xb), np.maximum(ya, yb)
+        usable = np.isfinite(x0) & np.isfinite(x1) & np.isfinite(y0) & np.isfinite(y1) & (y1 > y0)
+        blank = _by_value(get("text"), lambda t: not t or t.isspace())
+        unit = _medians(page[usable], (y1 - y0)[usable], batch.num_rows)
+        v = np.flatnonzero(usable & ~blank)
+        page, x0, y0, x1, y1 = page[v], x0[v], y0[v], x1[v], y1[v]
+        new, reach = _breaks(x0, x1, (y0 + y1) / 2, page, unit)
+        line, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        m = len(at)
+        if not m:
+            continue
 
+        # A space where white space was passed over or a gap is left, unless one stands there already.
+        gone = np.cumsum(usable & blank)[v]
+        apart = np.zeros(len(v), bool)
+        apart[1:] = gone[1:] > gone[:-1]
+        spaced = _by_value(get("text"), lambda t: t.endswith(" "))[v]
+        space = ~new & (apart | (x0 - reach > WORD_SPACE * unit[page])) & ~np.concatenate(([False], spaced[:-1]))
+        text = get("text")
+        text = (text.fill_null("") if text.null_count else text).take(pa.array(v)).cast(pa.large_string())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[: len(v) + 1]
+        size = np.diff(offsets)
+        out = np.full(int(size.sum() + space.sum()), 32, np.uint8)
+        end = np.cumsum(size + space)
+        shift = np.repeat(end - size - offsets[:-1], size)
+        out[np.arange(len(shift)) + shift] = np.frombuffer(text.buffers()[2], np.uint8)[: len(shift)]
+        cut = np.append((end - size - space)[at], len(out))
+        texts = pa.LargeStringArray.from_buffers(m, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
+        if spaced.any() or _by_value(get("text"), lambda t: len(t) > 1).any():
+            texts = pa.array([t.strip() for t in texts.to_pylist()])
+
+        sizes, height = np.nan_to_num(number("size"))[v], y1 - y0
+        some = sizes > 0
+        middle = _medians(line[some], sizes[some], m)
+        font_size = np.where(np.isnan(middle), 0.92 * _medians(line, height, m), middle)
+        share = lambda mark: np.bincount(line, mark, m) / np.bincount(line, minlength=m) > MAJORITY  # noqa: B023, E731
+        flags, fonts = whole("flags")[v], get("font")
+        heavy = (flags & BOLD != 0) | _by_value(fonts, lambda t: "bold" in t.lower())[v]
+        slanted = (flags & ITALIC != 0) | _by_value(fonts, lambda t: "italic" in t.lower())[v]
+        # The most frequent colour, the first seen of several.
+        color = whole("color")[v]
+        order = np.lexsort((np.arange(len(v)), color, line))
+        head = np.flatnonzero(np.concatenate(([True], (np.diff(color[order]) != 0) | (np.diff(line[order]) != 0))))
+        count = np.diff(np.append(head, len(order)))
+        best = np.lexsort((order[head], -count, line[order[head]]))
+        best = best[np.concatenate(([True], np.diff(line[order[head[best]]]) != 0))]
+        box = [f.reduceat(c, at) for f, c in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))]
+        first = np.searchsorted(page[at], np.arange(batch.num_rows))
+        ids = [batch.column(c).take(pa.array(page[at])) for c in PAGE]
+        columns = [*ids, pa.array((np.arange(m) - first[page[at]]).astype(np.int32)), texts, *map(pa.array, box), pa.array(np.maximum(font_size, 1.0)), pa.array(color[order[head[best]]].astype(np.int32)), pa.array(share(heavy)), pa.array(share(slanted))]
+        yield pa.record_batch(columns, names=names)
+
+
+def lines_of_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_index, line_id, text, x0, y0, x1, y1, font_size, color, bold, italic) of ``pages``(doc_id, page_index, glyphs); nothing is moved.
+
+    Corners of a box may stand in any order; boxes that are not finite or have no height are
+    left out. Missing sizes, fonts, colours and flags count as 0 and empty. White space never
+    begins a line, so a page of white space has none.
+    """
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), F.col("glyphs").cast(GLYPHS).alias("glyphs")).mapInArrow(_lines, LINE)
 
-def lines(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, line_id, text, x0, y0, x1, y1, font_size, color, bold, italic).
 
-    Glyphs are taken in order of ``pos``; boxes must be finite and have a height, others are
-    left out. Lines of white space only are dropped, so ids may have gaps. One shuffle by
-    page; a page goes to Python once and comes back as lines.
-    """
-    usable = with_defaults(glyphs).filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('Infinity')" for c in ("x0", "y0", "x1", "y1")) + " AND y1 > y0")
-    flat = usable.select(*PAGE, "pos", "text", "x0", "y0", "x1", "y1", "size", "color", bold(F.col("flags"), F.col("font")).alias("bold"), italic(F.col("flags"), F.col("font")).alias("italic"))
-    return flat.groupBy(*PAGE).applyInArrow(page_lines, LINE)
+def lines(glyphs: DataFrame) -> DataFrame:
+    """``lines_of_pages`` from one row a glyph (doc_id, page_index, pos, text, x0, y0, x1, y1, size, font, color, flags)."""
+    return lines_of_pages(pages(glyphs))
 
 
 def starts_list_item(text: Column) -> Column:
     return strip(text).rlike(LIST_MARKER)
 
 
-def number_blocks(page: pa.Table) -> pa.Table:
-    """``page``, lines in order of line_id, with ``block_id``."""
-    page = page.sort_by("line_id")
-    x0, x1, y0, y1, size, heavy, item = (page.column(c).to_pylist() for c in ("x0", "x1", "y0", "y1", "font_size", "bold", "item"))
+def number_blocks(lines: list[dict]) -> list[int]:
+    """Block of each of a page's lines, in order of line_id.
+
+    A line goes on with the block above it where weight and size agree, it is no list item,
+    overlaps, and the gap is positive and small against the block's leading: the median
+    distance of its tops so far, or 1.2 sizes before there is one.
+    """
     ids: list[int] = []
-    tops: list[float] = []
-    for i in range(len(x0)):
-        joins = False
-        if i and not item[i] and heavy[i] == heavy[i - 1]:
-            j = i - 1
-            gaps = [b - a for a, b in zip(tops, tops[1:]) if b > a]
-            leading = median(gaps) if gaps else 1.2 * size[j]
-            gap = y0[i] - y1[j]
-            narrower = min(x1[i] - x0[i], x1[j] - x0[j])
-            joins = (
-                max(size[i], size[j]) / max(min(size[i], size[j]), 0.01) < SIZE_JUMP
-                and y0[j] - y1[j] < gap < leading * SAME_PARAGRAPH
-                and narrower > 0
-                and (min(x1[i], x1[j]) - max(x0[i], x0[j])) / narrower > MINIMUM_OVERLAP
-            )
-        ids.append(ids[-1] if joins else ids[-1] + 1 if ids else 0)
-        tops = [*tops, y0[i]] if joins else [y0[i]]
-    return page.append_column("block_id", pa.array(ids, pa.int32()))
+    gaps: list[float] = []
+    for above, line in zip([None, *lines], lines):
+        joins = above is not None and not line["item"] and line["bold"] == above["bold"]
+        if joins:
+            half = len(gaps) // 2
+            leading = (gaps[half] if len(gaps) % 2 else (gaps[half - 1] + gaps[half]) / 2) if gaps else 1.2 * above["font_size"]
+            sizes = sorted((line["font_size"], above["font_size"]))
+            gap = line["y0"] - above["y1"]
+            narrow = min(line["x1"] - line["x0"], above["x1"] - above["x0"])
+            shared = min(line["x1"], above["x1"]) - max(line["x0"], above["x0"])
+            joins = sizes[1] / max(sizes[0], 0.01) < SIZE_JUMP and above["y0"] - above["y1"] < gap < leading * SAME_PARAGRAPH and narrow > 0 and shared / narrow > MINIMUM_OVERLAP
+        if not joins:
+            gaps = []
+        elif line["y0"] > above["y0"]:
+            insort(gaps, line["y0"] - above["y0"])
+        ids.append((ids[-1] if joins else ids[-1] + 1) if ids else 0)
+    return ids
+
+
+_FOLDED = ("line_id", "x0", "y0", "x1", "y1", "font_size", "bold", "item")
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [number_blocks(page) for page in batch.column("folded").to_pylist()]
+        yield batch.drop_columns("folded").append_column("blocks", pa.array(found, pa.list_(pa.int32())))
 
 
 def block_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``block_id`` within their page."""
-    marked = lines.withColumn("item", starts_list_item(F.col("text")))
-    return marked.groupBy(*PAGE).applyInArrow(number_blocks, marked.schema.simpleString()[7:-1].replace(":", " ") + ", block_id int").drop("item")
+    """``lines`` with ``block_id`` within their page. One shuffle of lines; a page's lines stand in one row while it is folded."""
+    item = starts_list_item(F.col("text")).alias("item")
+    rest = [c for c in lines.columns if c not in (*PAGE, *_FOLDED)]
+    whole = F.struct(*(item if c == "item" else F.col(c) for c in _FOLDED), *rest)
+    rows = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(whole)).alias("lines"))
+    rows = rows.withColumn("folded", F.transform("lines", lambda x: F.struct(*(x[c].alias(c) for c in _FOLDED))))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    done = rows.mapInArrow(_numbers, f"doc_id {kinds['doc_id']}, page_index {kinds['page_index']}, lines {kinds['lines']}, blocks array<int>")
+    flat = done.select(*PAGE, F.posexplode("lines").alias("_n", "_line"), "blocks")
+    return flat.select(*(F.col(c) if c in PAGE else F.col(f"_line.{c}") for c in lines.columns), F.get("blocks", F.col("_n")).alias("block_id"))
 
 
 def joined_text(parts: Column) -> Column:

@@ -53,7 +53,7 @@ def page_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.lines(grid.glyphs(_docs(spark, sf)))
+    return layout.lines_of_pages(grid.pages(_docs(spark, sf)))
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ as a bold heading of 22 points. All arithmetic is on integers, so engines agree
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS, ADVANCE, LEADING, LEFT, TOP, HEIGHT, COLUMN, GAP = 50, 6, 14, 72, 100, 10, 60, 60
@@ -27,6 +27,24 @@ def glyphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_index, glyphs): ``glyphs`` as a source of whole pages, each page's characters in one array; nothing is moved."""
+    split = docs.select("doc_id", F.split("text", "\n", -1).alias("rows"))
+    paged = split.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / ROWS).cast("int"))).alias("page_index"), "rows")
+    paged = paged.select("doc_id", "page_index", F.slice("rows", F.col("page_index") * ROWS + 1, F.lit(ROWS)).alias("rows"))
+
+    def glyph(text: Column, r: Column, i: Column) -> Column:
+        x0, y0, row = LEFT + ADVANCE * i + F.when(i >= COLUMN, GAP).otherwise(0), TOP + LEADING * r, F.col("page_index") * ROWS + r
+        return F.struct(
+            (row.cast("long") * 1_000_000 + i).alias("pos"), text.alias("text"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + ADVANCE).cast("double").alias("x1"), (y0 + HEIGHT).cast("double").alias("y1"),
+            F.when(row == 0, 22.0).otherwise(10.0).alias("size"), F.lit("Serif").alias("font"), F.when(F.pmod(row, F.lit(5)) == 0, 255).otherwise(0).alias("color"),
+            (F.when(row == 0, 16).otherwise(0) + F.when(F.pmod(row, F.lit(11)) == 3, 2).otherwise(0)).alias("flags"),
+        )
+
+    chars = F.flatten(F.transform("rows", lambda line, r: F.transform(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), lambda c, i: glyph(c, r, i))))
+    return paged.select("doc_id", "page_index", chars.alias("glyphs")).filter(F.size("glyphs") > 0)
+
+
 def ocr_words(docs: DataFrame) -> DataFrame:
     """Recogniser output, every field a string: one row per space-separated word, eight words a line."""
     words = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))

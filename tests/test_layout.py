@@ -1,3 +1,7 @@
+import math
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +51,55 @@ def test_bad_boxes_and_blank_pages(spark):
     assert lines_of(spark, rows) == []
 
 
+def test_corners_in_any_order(spark):
+    rows = [(1, 0, i, c, 6.0 * i + 6, 10.0, 6.0 * i, 0.0, 10.0, "", 0, 0) for i, c in enumerate("ab")]
+    (line,) = lines_of(spark, rows)
+    assert (line.text, line.x0, line.y0, line.x1, line.y1) == ("ab", 0.0, 0.0, 12.0, 10.0)
+
+
+def brute_lines(rows):
+    """Lines of a page's glyphs, one by one."""
+    done, line = [], None
+    unit = statistics.median(r[7] - r[5] for r in rows)
+    for _, _, _, text, x0, y0, x1, y1, size, _, color, flags in rows:
+        if not text.strip():
+            if line:
+                line["space"] = True
+            continue
+        if line is None or abs((y0 + y1) / 2 - sum(line["mid"]) / len(line["mid"])) > 0.5 * unit or x0 - line["right"] > 2.5 * unit:
+            line = {"mid": [], "right": -math.inf, "text": "", "space": False, "sizes": [], "colors": [], "heavy": []}
+            done.append(line)
+        if line["text"] and not line["text"].endswith(" ") and (line["space"] or x0 - line["right"] > 0.28 * unit):
+            line["text"] += " "
+        line["text"] += text
+        line["space"] = False
+        line["mid"].append((y0 + y1) / 2)
+        line["right"] = max(line["right"], x1)
+        line["sizes"] += [size] if size else []
+        line["colors"].append(color)
+        line["heavy"].append(bool(flags & 16))
+    return [(x["text"].strip(), max(statistics.median(x["sizes"]), 1.0), max(dict.fromkeys(x["colors"]), key=x["colors"].count), statistics.mean(x["heavy"]) > 0.6) for x in done]
+
+
+def test_irregular_pages_against_brute_force(spark):
+    rng = random.Random(4)
+    pages, rows = {}, []
+    for page in range(40):
+        x, y, own = 0.0, 0.0, []
+        for i in range(60):
+            step = rng.choice([6, 6, 6, 6, 9, 40, -200])
+            x, y = (x + step, y + rng.choice([0, 0, 0, 0.75, -0.5])) if step > 0 else (0.0, y + rng.choice([3, 6, 13]))
+            h = rng.choice([10, 10, 8.5])
+            own.append((page, 0, i, rng.choice(["a", "é", " ", "fi", "b ", "z"]), x, y, x + rng.choice([5, 6, 12]), y + h, rng.choice([10.0, 9.0]), "", rng.choice([1, 2, 3]), rng.choice([0, 16, 16])))
+        pages[page] = own
+        rows += own
+    rng.shuffle(rows)
+    got = {}
+    for r in layout.lines(spark.createDataFrame(rows, GLYPH)).orderBy("doc_id", "line_id").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.font_size, r.color, r.bold))
+    assert got == {p: brute_lines(own) for p, own in pages.items()}
+
+
 def test_first_colour_wins_a_tie(spark):
     rows = [(1, 0, i, "a", 6.0 * i, 0.0, 6.0 * i + 6, 10.0, 10.0, "Arial-Bold", c, 0) for i, c in enumerate([7, 3, 3, 7])]
     (line,) = lines_of(spark, rows)
