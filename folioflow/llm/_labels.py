@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int) -> DataFrame:
-    """(doc_id, text, y): at most ``most`` labelled rows, drawn by a hash of the id.
+    """(doc_id, y, text): at most ``most`` labelled rows, drawn by a hash of the id.
 
     ``labels`` has doc_id and y; only labels 0 and 1 with ``learn`` true count. The drawn
-    labels are bounded by ``most``, so they are broadcast to the documents.
+    labels are bounded by ``most``, so they are broadcast to the documents. An id that stands
+    for several texts gives the least of them, so repeated ids do not exceed the bound.
     """
     drawn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y")).filter(learn & F.col("y").isin(0, 1))
     drawn = drawn.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id")
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def unique_counts(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -153,7 +153,7 @@ def _extract(batches: Batches) -> Batches:
         who, bucket, value, stats = features(data, offsets)
         cut = pa.array(np.searchsorted(who, np.arange(len(stats) + 1)).astype(np.int32))
         yield pa.record_batch({
-            "y": rows.column("y"), "bucket": pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int32))), "value": pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32))),
+            "doc_id": rows.column("doc_id"), "y": rows.column("y"), "bucket": pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int32))), "value": pa.ListArray.from_arrays(cut, pa.array(value.astype(np.float32))),
             "stats": pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), STATS).cast(pa.list_(pa.float64())),
         })
 
@@ -169,10 +169,11 @@ def _score(batches: Batches, machine: Machine | None) -> Batches:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Machine | None:
-    got = labelled_sample(docs, labels, learn, sample).mapInArrow(_extract, "y int, bucket array<int>, value array<float>, stats array<double>").toArrow()
+    got = labelled_sample(docs, labels, learn, sample).mapInArrow(_extract, "doc_id long, y int, bucket array<int>, value array<float>, stats array<double>").toArrow()
     if not got.num_rows:
         return None
-    got = got.combine_chunks()
+    # One order of the rows, so that every fit gives the same weights.
+    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy().astype(float)
     bucket = got.column("bucket").combine_chunks()
     who = np.repeat(np.arange(len(y)), bucket.value_lengths().to_numpy())

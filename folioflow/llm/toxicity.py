@@ -1,16 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and word beginnings of 3 to 8 bytes (inflected and compounded
-forms share a beginning). The vocabulary is the terms that labelled documents show to go
-with toxicity (chi-square, and a share of toxic rows), at most ``VOCABULARY``; counted over the sample on the cluster.
-Examples are at most ``SAMPLE`` labelled rows as TF-IDF vectors over these terms.
-
-The index keeps postings in blocks of ``BLOCK`` examples with the largest weight of every
-term in every block. A query bounds each block by the dot product with those maxima, reads
-blocks by falling bound, and stops when no bound exceeds its k-th best cosine, so the
-neighbours are exact. Their votes are weighted by nearness and mapped to a probability by
-an isotonic fit on leave-one-out votes. A document without any term gets the share of toxic
-rows among the examples without one. The neighbours' ids are the evidence.
+Examples are at most ``SAMPLE`` labelled documents, toxic and clean ones alike, as vectors
+over all their lower-cased words. A word weighs (1 + log count) * idf * relevance. Relevance
+is how far the word's share of toxic examples lies above the share of all examples, smoothed
+by ``PRIOR`` examples, and at least ``FLOOR``: it turns the angles towards words that tell
+the labels apart, and no word of any example is left out. Words that no example has carry no
+weight.
+
+The inverted index lists, per word, its examples in blocks of ``BLOCK`` neighbouring rows,
+with the largest weight in each block. A query first adds up these maxima, which bounds the
+cosine of every block; it reads the postings of the best blocks, takes its k-th best cosine,
+and then reads those of the blocks whose bound reaches that cosine. The others cannot hold a
+neighbour, so the neighbours are exact. Their votes are weighted by nearness and mapped to a
+probability by an isotonic fit on leave-one-out votes. The neighbours' ids are the evidence.
 """
 
 from __future__ import annotations
@@ -22,111 +24,111 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm._labels import Batches, labelled_sample, unique_counts
-from folioflow.llm._text import BYTE_CODE, NOT_ALNUM, Words, as_long, chunks, mix, powers
-
-SAMPLE = 6_000
-VOCABULARY = 1_024
-CHI_SQUARE = 40.0
-LEAST = 5
-#: Toxic rows with a term, for each other row with it.
-PURITY = 3
-PREFIXES = range(3, 9)
-BLOCK = 64
+from folioflow.llm._labels import Batches, labelled_sample, ranges, unique_counts
+from folioflow.llm._text import NOT_ALNUM, Words, as_long, chunks
+
+SAMPLE = 4_000
+PRIOR, FLOOR = 4, 0.02
+BLOCK = 256
+#: Blocks that a query reads before its bounds are used.
+FIRST_BLOCKS = 2
 NEIGHBOURS = 15
 THRESHOLD = 0.7
+#: Cosines that differ by less are ties.
+TIE = 1e-9
 
 
-def terms(data: np.ndarray, offsets: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, term, count) of a chunk; with ``of``, sorted hashes, only those, as their positions."""
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, word hash, count) of a chunk, by document."""
     w = Words(data, offsets, NOT_ALNUM, lower=True)
-    doc = w.doc
-    who, what = [doc], [w.hashes()]
-    size = w.end - w.start
-    prefix = np.zeros(len(size), np.uint64)
-    for p in range(PREFIXES[-1]):
-        more = size > p
-        prefix[more] += BYTE_CODE[w.data[w.start[more] + p]] * powers(p + 1)[p]
-        if p + 1 in PREFIXES:
-            longer = size > p + 1
-            who.append(doc[longer])
-            what.append(mix(prefix[longer] + np.uint64(p + 1)))
-    if of is not None:
-        for i, h in enumerate(what):
-            spot = np.minimum(np.searchsorted(of, h), max(len(of) - 1, 0))
-            hit = of[spot] == h if len(of) else np.zeros(len(h), bool)
-            who[i], what[i] = who[i][hit], spot[hit]
-    return unique_counts(np.concatenate(who), np.concatenate(what))
-
-
-def _document_counts(batches: Batches) -> Batches:
-    for rows, data, offsets in chunks(batches):
-        doc, term, _ = terms(data, offsets)
-        y = rows.column("y").to_numpy()[doc]
-        order = np.argsort(term, kind="stable")
-        term, y = term[order], y[order]
-        new = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
-        if len(new):
-            yield pa.record_batch({"term": as_long(term[new]), "toxic": pa.array(np.add.reduceat(y, new).astype(np.int64)), "df": pa.array(np.diff(np.append(new, len(term))))})
+    return unique_counts(w.doc, w.hashes())
 
 
-def _vectors(batches: Batches, vocabulary: np.ndarray) -> Batches:
+def _vectors(batches: Batches) -> Batches:
     for rows, data, offsets in chunks(batches):
-        doc, term, count = terms(data, offsets, vocabulary)
+        doc, term, count = terms(data, offsets)
         cut = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
-        yield pa.record_batch({"doc_id": rows.column("doc_id"), "y": rows.column("y"), "term": pa.ListArray.from_arrays(cut, pa.array(term.astype(np.int32))), "count": pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))})
+        yield pa.record_batch({"doc_id": rows.column("doc_id"), "y": rows.column("y"), "term": pa.ListArray.from_arrays(cut, as_long(term)), "count": pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))})
 
 
 class Index(NamedTuple):
+    #: Sorted word hashes and their weight, idf * relevance.
     vocabulary: np.ndarray
-    idf: np.ndarray
-    vectors: np.ndarray
+    weight: np.ndarray
+    #: Blocks of word t: entries cut[t] .. cut[t + 1], each with its block and largest weight.
+    cut: np.ndarray
+    block: np.ndarray
+    top: np.ndarray
+    #: Postings of entry e: posting[e] .. posting[e + 1], each an example's row and weight.
+    posting: np.ndarray
+    row: np.ndarray
+    value: np.ndarray
     y: np.ndarray
     ids: np.ndarray
-    #: Largest weight per (block, term).
-    top: np.ndarray
-    #: Probability for documents without any term, and the isotonic levels for the others.
+    #: Probability for documents without any known word, and the isotonic levels for the others.
     without: float
     steps: tuple[np.ndarray, np.ndarray]
 
 
-def weigh(doc: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    x = np.zeros((n, len(idf)), np.float64)
-    x[doc, term] = (1 + np.log(count)) * idf[term]
-    return x / np.maximum(np.sqrt((x**2).sum(1)), 1e-12)[:, None]
+def make_index(doc: np.ndarray, term: np.ndarray, value: np.ndarray, vocabulary: np.ndarray, weight: np.ndarray, y: np.ndarray, ids: np.ndarray, without: float) -> Index:
+    """Index of unit vectors given as (doc, term position, value)."""
+    order = np.lexsort((doc, term))
+    doc, term, value = doc[order], term[order], value[order]
+    block = doc // BLOCK
+    new = np.ones(len(doc), bool)
+    new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    top = np.maximum.reduceat(value, at) if len(at) else np.zeros(0)
+    cut = np.searchsorted(term[at], np.arange(len(vocabulary) + 1))
+    return Index(vocabulary, weight, cut, block[at].astype(np.int32), top, np.append(at, len(doc)), doc.astype(np.int32), value, y, ids, without, (np.zeros(0), np.zeros(0)))
+
+
+def unit(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    norm = np.sqrt(np.bincount(doc, value**2, n))
+    return value / np.maximum(norm, 1e-12)[doc]
 
 
-def nearest(queries: np.ndarray, index: Index, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines and rows of the ``k`` most similar examples, best first, ties to the smaller row.
+def nearest(term: np.ndarray, value: np.ndarray, index: Index, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and rows of the at most ``k`` nearest examples with a common word, best first, ties to the smaller id.
 
-    ``skip`` names one example per query that is left out. Missing neighbours have row -1.
+    The query is a unit vector given by positions in the vocabulary; row ``skip`` takes no part.
     """
-    m = len(queries)
-    cosine, row = np.full((m, k), -1.0), np.full((m, k), -1)
-    bounds = queries @ index.top.T
-    for block in np.argsort(-bounds.max(0, initial=0), kind="stable").tolist():
-        live = np.flatnonzero((bounds[:, block] > 0) & (bounds[:, block] >= cosine[:, -1] - 1e-12))
-        if not len(live):
-            continue
-        at = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(index.y)))
-        # Postings of the terms that these queries have.
-        used = np.flatnonzero(queries[live].any(0))
-        got = queries[np.ix_(live, used)] @ index.vectors[np.ix_(at, used)].T
-        got[got <= 0] = -1.0
-        if skip is not None:
-            got[skip[live][:, None] == at[None, :]] = -1.0
-        c = np.concatenate((cosine[live], got), 1)
-        r = np.concatenate((row[live], np.where(got > 0, at[None, :], -1)), 1)
-        order = np.lexsort((r, -np.round(c, 9)), axis=1)[:, :k]
-        cosine[live], row[live] = np.take_along_axis(c, order, 1), np.take_along_axis(r, order, 1)
-    return cosine, row
-
-
-def votes(cosine: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = index.cut[term + 1] - index.cut[term]
+    entry, weight = ranges(index.cut[term], n), np.repeat(value, n)
+    block = index.block[entry]
+    blocks = (len(index.y) + BLOCK - 1) // BLOCK
+    bound = np.bincount(block, weight * index.top[entry], blocks)
+    score = np.zeros(len(index.y))
+
+    def read(wanted: np.ndarray) -> None:
+        pick = wanted[block]
+        e, w = entry[pick], weight[pick]
+        m = index.posting[e + 1] - index.posting[e]
+        p = ranges(index.posting[e], m)
+        np.add(score, np.bincount(index.row[p], np.repeat(w, m) * index.value[p], len(score)), out=score)
+        if skip >= 0:
+            score[skip] = 0
+
+    first = np.zeros(blocks, bool)
+    first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+    read(first)
+    worst = -np.partition(-score, k - 1)[k - 1] if len(score) >= k else 0.0
+    more = ~first & (bound > 0) & (bound >= worst - TIE)
+    if more.any():
+        read(more)
+    got = np.flatnonzero(score > 0)
+    if len(got) > k:
+        worst = -np.partition(-score[got], k - 1)[k - 1]
+        got = got[score[got] >= worst - TIE]
+    got = got[np.lexsort((index.ids[got], -np.round(score[got] / TIE)))][:k]
+    return score[got], got
+
+
+def vote(cosine: np.ndarray, row: np.ndarray, y: np.ndarray) -> float:
     """Toxic weight of the neighbours: each counts cosine^2 / (distance + 0.05), against one clean vote of 1."""
     c = np.clip(cosine, 0, 1)
-    weight = np.where(row >= 0, c**2 / (1.05 - c), 0)
-    return (weight * y[row]).sum(1) / (weight.sum(1) + 1)
+    weight = c**2 / (1.05 - c)
+    return float((weight * y[row]).sum() / (weight.sum() + 1))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,53 +148,74 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
 
 
-def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Index | None:
-    rows = labelled_sample(docs, labels, learn, sample).dropDuplicates(["text", "y"])
-    sizes = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
-    n, toxic = int(sizes["n"]), int(sizes["toxic"] or 0)
-    if not n:
+def relevance(toxic: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
+    lift = (toxic + share * PRIOR) / (df + PRIOR) - share
+    return np.maximum(lift / max(1 - share, 1e-9), FLOOR)
+
+
+def fit(table: pa.Table) -> Index | None:
+    """The index of examples (doc_id, y, term, count); copies with one label count once, under their smallest id."""
+    if not table.num_rows:
         return None
-    seen = rows.mapInArrow(_document_counts, "term long, toxic long, df long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("df").alias("df"))
-    a, b, c, d = F.col("a"), F.col("df") - F.col("a"), toxic - F.col("a"), (n - toxic) - (F.col("df") - F.col("a"))
-    chi = n * F.pow((a * d - b * c).cast("double"), 2) / F.greatest((a + b).cast("double") * (c + d) * (a + c) * (b + d), F.lit(1.0))
-    chosen = seen.filter((a >= LEAST) & (a >= PURITY * b) & (a * (n - toxic) > 3 * b * toxic)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
-    got = chosen.orderBy(F.col("chi").desc(), "term").limit(VOCABULARY).select("term", "df").toArrow()
-    vocabulary, df = got.column("term").to_numpy().view(np.uint64), got.column("df").to_numpy()
-    order = np.argsort(vocabulary)
-    vocabulary, idf = vocabulary[order], np.log((n + 1) / (df[order] + 1)) + 1
-    data = rows.mapInArrow(lambda x: _vectors(x, vocabulary), "doc_id long, y int, term array<int>, count array<int>").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    y, ids = data.column("y").to_numpy().astype(float), data.column("doc_id").to_numpy()
-    lists, counts = data.column("term").combine_chunks(), data.column("count").combine_chunks()
-    doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
-    vectors = weigh(doc, lists.flatten().to_numpy(), counts.flatten().to_numpy(), idf, n)
-    some = vectors.any(1)
+    table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    lists, counts = (table.column(c).combine_chunks() for c in ("term", "count"))
+    first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    term, count = lists.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
+    y, ids = table.column("y").to_numpy().astype(float), table.column("doc_id").to_numpy()
+    seen: set[tuple] = set()
+    keep = []
+    for i in range(len(y)):
+        name = (y[i], term[first[i] : first[i + 1]].tobytes(), count[first[i] : first[i + 1]].tobytes())
+        if name not in seen:
+            seen.add(name)
+            keep.append(i)
+    keep = np.array(keep)
+    size = first[keep + 1] - first[keep]
+    at = ranges(first[keep], size)
+    doc, term, count, y, ids = np.repeat(np.arange(len(keep)), size), term[at], count[at], y[keep], ids[keep]
+    n, share = len(y), float(y.mean())
+    vocabulary, term = np.unique(term, return_inverse=True)
+    df, toxic = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, y[doc], len(vocabulary))
+    weight = (np.log((n + 1) / (df + 1)) + 1) * relevance(toxic, df, share)
+    value = unit(doc, (1 + np.log(count)) * weight[term], n)
+    some = np.bincount(doc, minlength=n) > 0
     without = (y[~some].sum() + 0.5) / ((~some).sum() + 1) if (~some).any() else (y.sum() + 0.5) / (n + 1)
-    # Examples with the same main term stand together, so that block maxima are tight.
-    keep = np.flatnonzero(some)
-    keep = keep[np.lexsort((ids[keep], vectors[keep].argmax(1) if len(vocabulary) else keep))]
-    vectors, y, ids = vectors[keep], y[keep], ids[keep]
-    top = np.stack([vectors[s : s + BLOCK].max(0) for s in range(0, len(y), BLOCK)]) if len(y) else np.zeros((0, len(vocabulary)))
-    index = Index(vocabulary, idf, vectors, y, ids, top, float(without), (np.zeros(0), np.zeros(0)))
-    if not len(y):
-        return index
-    left_out = np.concatenate([votes(*nearest(vectors[s : s + 512], index, NEIGHBOURS, np.arange(s, min(s + 512, len(y)))), y) for s in range(0, len(y), 512)])
-    return index._replace(steps=isotonic(left_out, y))
+    # Examples with the same heaviest word stand together, so that block maxima are tight.
+    lead = np.full(n, -1)
+    by = np.lexsort((term, -value, doc))
+    if len(by):
+        lead[doc[by[::-1]]] = term[by[::-1]]
+    order = np.lexsort((ids, lead))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    y, ids = y[order], ids[order]
+    index = make_index(place[doc], term, value, vocabulary, weight, y, ids, float(without))
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    drawn = np.flatnonzero(some)
+    left_out = [vote(*nearest(term[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], index, NEIGHBOURS, int(place[i])), y) for i in drawn.tolist()]
+    return index._replace(steps=isotonic(np.array(left_out), y[place[drawn]])) if len(drawn) else index
+
+
+def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Index | None:
+    return fit(labelled_sample(docs, labels, learn, sample).mapInArrow(_vectors, "doc_id long, y int, term array<long>, count array<int>").toArrow())
 
 
 def rate(data: np.ndarray, offsets: np.ndarray, index: Index | None) -> tuple[np.ndarray, list[list[int]]]:
     """Scores and evidence of a chunk's documents."""
     n = len(offsets) - 1
     score, near = np.full(n, 0.5 if index is None else index.without), [[]] * n
-    if index is not None and len(index.y):
-        doc, term, count = terms(data, offsets, index.vocabulary)
-        some, local = np.unique(doc, return_inverse=True)
-        for s in range(0, len(some), 512):
-            pick = (local >= s) & (local < s + 512)
-            group = some[s : s + 512]
-            cosine, row = nearest(weigh(local[pick] - s, term[pick], count[pick], index.idf, len(group)), index, NEIGHBOURS)
-            score[group] = np.interp(votes(cosine, row, index.y), *index.steps)
-            for g, r in zip(group.tolist(), row[:, :3].tolist()):
-                near[g] = [int(index.ids[i]) for i in r if i >= 0]
+    if index is not None and len(index.steps[0]):
+        doc, term, count = terms(data, offsets)
+        spot = np.minimum(np.searchsorted(index.vocabulary, term), len(index.vocabulary) - 1)
+        known = index.vocabulary[spot] == term
+        doc, spot, count = doc[known], spot[known], count[known]
+        value = unit(doc, (1 + np.log(count)) * index.weight[spot], n)
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        for i in range(n):
+            if cut[i] < cut[i + 1]:
+                cosine, row = nearest(spot[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], index, NEIGHBOURS)
+                score[i] = np.interp(vote(cosine, row, index.y), *index.steps)
+                near[i] = index.ids[row[:3]].tolist()
     return score, near
 
 
@@ -218,10 +241,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float
 
     ``labels`` has doc_id and y (0 or 1). Labels are learned from where ``held_out``, an
     expression over doc_id, is false; a null there is neither learned from nor held out. The
-    score reads nothing but the text. Null, empty and termless texts get the share of toxic
-    rows among examples without terms; without usable labels every score is 0.5. Equal
-    cosines go to the example with the earlier row. Repeated rows repeat; labelled copies with one label
-    count once. Extra columns are ignored.
+    score reads nothing but the text. Null, empty and wordless texts, and texts without any
+    word of the examples, get the share of toxic rows among wordless examples, or among all
+    where there is none; without usable labels every score is 0.5. ``evidence`` has the ids of
+    the three nearest examples; equal cosines go to the smaller id. An id with several texts
+    teaches with the least of them, one with both labels teaches both. Repeated rows repeat;
+    labelled copies with one label count once. Extra columns are ignored.
     """
     index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, ~held_out, sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

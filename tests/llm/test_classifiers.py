@@ -1,9 +1,12 @@
+import re
+
 import numpy as np
 import pytest
 from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import quality, toxicity
+from folioflow.llm._labels import labelled_sample
 from folioflow.llm._spark import remainder
 
 LABELS = "doc_id long, y int"
@@ -44,16 +47,87 @@ def test_toxicity_filter_keeps_columns(spark, documents):
 
 def test_neighbours_are_exact():
     rng = np.random.default_rng(1)
-    vectors = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
+    vectors = rng.random((700, 40)) * (rng.random((700, 40)) < 0.1)
     vectors = vectors[vectors.any(1)]
     vectors /= np.sqrt((vectors**2).sum(1))[:, None]
-    top = np.stack([vectors[s : s + toxicity.BLOCK].max(0) for s in range(0, len(vectors), toxicity.BLOCK)])
-    index = toxicity.Index(np.arange(40, dtype=np.uint64), np.ones(40), vectors, np.zeros(len(vectors)), np.arange(len(vectors)), top, 0.1, (np.zeros(0), np.zeros(0)))
-    cosine, row = toxicity.nearest(vectors[:50], index, 8, np.arange(50))
-    exact = vectors[:50] @ vectors.T
-    exact[np.arange(50), np.arange(50)] = -1
-    assert np.allclose(cosine, np.where((want := -np.sort(-exact, 1)[:, :8]) > 0, want, -1))
-    assert ((row >= 0) == (cosine > 0)).all()
+    vectors[300:310] = vectors[5]
+    doc, term = np.nonzero(vectors)
+    index = toxicity.make_index(doc, term, vectors[doc, term], np.arange(40, dtype=np.uint64), np.ones(40), np.zeros(len(vectors)), rng.permutation(len(vectors)), 0.1)
+    for i in range(60):
+        (t,) = np.nonzero(vectors[i])
+        cosine, row = toxicity.nearest(t, vectors[i, t], index, 8, i)
+        exact = vectors @ vectors[i]
+        exact[i] = -1
+        want = np.lexsort((index.ids, -np.round(exact, 9)))[:8]
+        assert row.tolist() == want[exact[want] > 0].tolist()
+        assert np.allclose(cosine, exact[row])
+
+
+def brute_toxicity(rows, labels, learn, k=15):
+    """Scores by dense vectors over all words, written from the docstrings."""
+    words = {i: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t or "") for i, t in rows}
+    examples, seen = [], set()
+    for i, y in sorted(labels):
+        name = (y, tuple(sorted(w.lower() for w in words[i]))) if i in words else None
+        if learn(i) and i in words and name not in seen:
+            seen.add(name)
+            examples.append((i, y))
+    vocabulary = sorted({w.lower() for i, _ in examples for w in words[i]})
+    at = {w: j for j, w in enumerate(vocabulary)}
+
+    def counts(i):
+        v = np.zeros(len(vocabulary))
+        for w in words[i]:
+            if w.lower() in at:
+                v[at[w.lower()]] += 1
+        return v
+
+    y = np.array([b for _, b in examples], float)
+    x = np.array([counts(i) for i, _ in examples])
+    n, share, df = len(y), y.mean(), (x > 0).sum(0)
+    lift = ((x > 0).T @ y + 4 * share) / (df + 4) - share
+    weight = (np.log((n + 1) / (df + 1)) + 1) * np.maximum(lift / (1 - share), 0.02)
+    unit = lambda v: (u := np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * weight) / max(np.sqrt((u**2).sum()), 1e-12)
+    vectors = np.array([unit(v) for v in x])
+    ids = np.array([i for i, _ in examples])
+
+    def vote(q, skip=-1):
+        c = vectors @ q
+        if skip >= 0:
+            c[skip] = 0
+        near = np.lexsort((ids, -np.round(c, 9)))[:k]
+        near = near[c[near] > 0]
+        w = c[near] ** 2 / (1.05 - np.minimum(c[near], 1))
+        return (w * y[near]).sum() / (w.sum() + 1), ids[near[:3]].tolist()
+
+    steps = toxicity.isotonic(np.array([vote(v, j)[0] for j, v in enumerate(vectors)]), y)
+    out = {}
+    for i, _ in rows:
+        q = unit(counts(i))
+        got, near = vote(q)
+        out[i] = (np.interp(got, *steps), near) if q.any() else ((y.sum() + 0.5) / (n + 1), [])
+    return out
+
+
+def test_toxicity_against_brute_force(spark, documents):
+    """The whole operator: all words, both labels, exact neighbours, votes and calibration."""
+    docs, labels = toxic_set(spark, documents, 150)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(900, "notaword"), (901, "")]
+    rows += [(700 + j, rows[j][1]) for j in range(6)]
+    want = brute_toxicity(rows, [(r.doc_id, r.y) for r in labels.collect()] + [(700, 1), (701, 0)], lambda i: i % 4 != 1)
+    more = labels.unionByName(spark.createDataFrame([(700, 1), (701, 0)], LABELS))
+    got = toxicity.score(documents(rows), more, F.col("doc_id") % 4 == 1).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id][0], abs=1e-6)
+        assert r.evidence == want[r.doc_id][1]
+    assert sum(len(r.evidence) == 3 for r in got) == len(rows) - 2
+
+
+def test_an_id_with_many_texts_keeps_the_bound(spark, documents):
+    docs, labels = toxic_set(spark, documents, 60)
+    many = docs.unionByName(documents([(0, f"another text number {j}") for j in range(50)]))
+    assert labelled_sample(many, labels, F.lit(True), 40).count() <= 40
 
 
 def test_quality_on_held_out_rows(spark, documents):
