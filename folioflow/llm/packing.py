@@ -192,8 +192,10 @@ class Encoder:
     """Token ids as little-endian uint32 bytes, with the ids of pieces between merges remembered.
 
     Texts of common characters are split here and each distinct piece is merged once, by the
-    ranks of the same vocabulary; other texts go through the tokenizer whole. Both give the
-    tokenizer's ids (the tests hold them against it).
+    ranks of the same vocabulary and another library's merge of one piece
+    (``_core_bpe.encode_single_piece``, not part of its public interface). Texts with other
+    characters or with a control string go through the tokenizer whole. Both give the ids of
+    a plain ``encode(text, add_special_tokens=False)``; the tests hold them against it.
     """
 
     def __init__(self, path: str):
@@ -202,12 +204,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.split, self.common = regex.compile(PATTERN).findall, regex.compile(COMMON).fullmatch
         # Byte-level vocabularies write byte b as a printable character: itself, or the next free one from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.control = regex.compile("|".join(map(regex.escape, sorted(special))) if special else r"(?!)").search
         ranks = {bytes(byte[c] for c in word): n for word, n in self.tokenizer.get_vocab().items() if word not in special}
         merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.known = Known(merge)
@@ -216,7 +218,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if not self.common(text):
+        if not self.common(text) or self.control(text):
             return self.ids([text])[0]
         if len(self.known) > KNOWN:
             self.known.clear()
@@ -245,8 +247,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
 
     A document is its token ids and a closing id 0; null and empty texts are the closing id
     alone. Documents longer than ``capacity`` are cut into pieces of that length, of which the
-    first may be shorter. Strings that look like control tokens are ordinary text. Repeated
-    rows give repeated pieces; extra columns are ignored; null ids are kept.
+    first may be shorter. A control string in a text gets the id that the tokenizer gives it.
+    Repeated rows give repeated pieces; extra columns are ignored; null ids are kept.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         lambda b: _cut(b, tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids binary"

@@ -71,11 +71,33 @@ def test_wider_searches_have_their_own_nodes(seed):
     assert sum(t for _, t in packing.solve(counts, 100, 60)) == packing.lower_bound(counts, 100)
 
 
-def test_encoder_equals_the_tokenizer():
-    encode = packing.Encoder(PATH)
-    texts = [" ".join(prose(i, 50)) for i in range(20)] + ["a  b", "x\n\n y", "don't 's", " \t  x", "“quoted” — dash", "<|endoftext|> hi", "ñ é 12ab ½ 漢字 ́x", "", "  ", "\r\n x\x0b y", "a\x85b", "tab\t\tx \n", "ÀÉÎ ßü", "1234567890", "it's we'll I'd"]
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def plain_ids(tokenizer, text):
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_encoder_equals_the_plain_tokenizer():
+    encode, plain = packing.Encoder(PATH), plain_tokenizer()
+    texts = [" ".join(prose(i, 50)) for i in range(20)] + ["a  b", "x\n\n y", "don't 's", " \t  x", "“quoted” — dash", "<|endoftext|> hi", "a<|endoftext|>b <|endoftext|>", "<|endoftext", "ñ é 12ab ½ 漢字 ́x", "", "  ", "\r\n x\x0b y", "a\x85b", "tab\t\tx \n", "ÀÉÎ ßü", "1234567890", "it's we'll I'd"]
     for t in texts * 2:
-        assert encode(t) == encode.ids([t])[0], t
+        assert encode(t) == plain_ids(plain, t), t
+    assert 50256 in np.frombuffer(encode("x<|endoftext|>"), "<u4")
+
+
+ENCODER = []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abcdefghij ETAOIN'’.,;:-_<|>0123456789\n\t\r\u00a0éüßñ"), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_encoder_equals_the_plain_tokenizer_on_any_text(text):
+    if not ENCODER:
+        ENCODER.extend((packing.Encoder(PATH), plain_tokenizer()))
+    assert ENCODER[0](text) == plain_ids(ENCODER[1], text)
 
 
 def check_layout(rows, capacity):
