@@ -12,7 +12,7 @@ the way back is exact. The loss mask is an array of (start, length) in code poin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
@@ -48,37 +48,31 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     kind = lambda p: F.when(p["type"].isin("text", *MEDIA), p["type"]).otherwise(F.lit("document"))
     rows = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
     rows = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(kind(p).alias("type"), p["text"].alias("text"), p["ref"].alias("ref"), F.coalesce(p["units"], F.lit(0)).alias("units"))))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
-
-    flat = F.flatten(F.transform("turns", lambda t, i: F.transform(t["parts"], lambda p, j: F.struct(i.alias("turn_no"), j.alias("part_no"), p["type"].alias("type"), p["ref"].alias("ref"), p["units"].alias("units")))))
-    media = F.filter(flat, lambda p: p["type"] != "text")
-    numbered = F.transform(media, lambda p, k: F.struct(k.alias("number"), p["turn_no"].alias("turn_no"), p["part_no"].alias("part_no"), p["type"].alias("type"), p["ref"].alias("ref"), p["units"].alias("tokens")))
-    grouped = grouped.withColumn("attachments", numbered)
-
-    def number(i: Column, j: Column) -> Column:
-        found = F.filter("attachments", lambda a: (a["turn_no"] == i) & (a["part_no"] == j))
-        return F.element_at(F.transform(found, lambda a: a["number"]), 1).cast("string")
-
-    def body(t: Column, i: Column) -> Column:
-        pieces = F.transform(t["parts"], lambda p, j: F.when(p["type"] == "text", escape(p["text"])).otherwise(F.concat(F.lit("<|"), p["type"], F.lit(":"), number(i, j), F.lit("|>"))))
-        return F.array_join(pieces, "")
-
-    bodies = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), body(t, i).alias("body")))
-    out = grouped.select("conv_id", "attachments", bodies.alias("t"))
-    out = out.withColumn("sizes", F.transform("t", lambda x: F.struct(F.length(x["head"]).alias("h"), F.length(x["body"]).alias("b"), x["role"].isin(*loss_roles).alias("loss"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walk = F.aggregate(
-        "sizes", zero,
-        lambda s, x: F.struct((s["at"] + x["h"] + x["b"] + len(END)).alias("at"), F.when(x["loss"], F.concat(s["spans"], F.array(F.struct((s["at"] + x["h"]).alias("start"), x["b"].alias("length"))))).otherwise(s["spans"]).alias("spans")),
-        lambda s: s["spans"],
-    )
+    # Placeholders stand without numbers first; control strings cannot occur in escaped text, so splitting finds exactly them.
+    body = F.array_join(F.transform("parts", lambda p: F.when(p["type"] == "text", escape(p["text"])).otherwise(F.concat(F.lit("<|"), p["type"], F.lit(":|>")))), "")
+    media = F.filter(F.transform("parts", lambda p, j: F.struct(j.alias("part_no"), p["type"].alias("type"), p["ref"].alias("ref"), p["units"].alias("tokens"))), lambda p: p["type"] != "text")
+    rows = rows.withColumn("body", body).withColumn("media", media)
+
+    # What stands before a turn is a running sum over its conversation, in one pass over the sorted turns.
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("turn_no", F.row_number().over(order) - 1).withColumn("number", F.coalesce(F.sum(F.size("media")).over(before), F.lit(0)).cast("int"))
+    pieces = F.split("body", rf"(?<=<\|(?:{'|'.join(MEDIA)}):)(?=\|>)", -1)
+    numbered = F.array_join(F.transform(pieces, lambda x, k: F.when(k < F.size("media"), F.concat(x, (F.col("number") + k).cast("string"))).otherwise(x)), "")
+    rows = rows.withColumn("body", numbered).withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)))
+    size = F.length("head") + F.length("body") + len(END)
+    rows = rows.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int"))
+    held = F.transform("media", lambda a, k: F.struct((F.col("number") + k).alias("number"), F.col("turn_no").alias("turn_no"), a["part_no"].alias("part_no"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
+    turn = F.struct("turn_no", "start", F.length("body").alias("length"), F.col("role").isin(*loss_roles).alias("loss"), F.concat("head", "body", F.lit(END)).alias("text"), held.alias("media"))
+    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    attachments = F.flatten(F.transform("t", lambda x: x["media"]))
     return out.select(
         "conv_id",
-        F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-        walk.alias("loss"),
-        "attachments",
+        F.array_join(F.transform("t", lambda x: x["text"]), "").alias("formatted"),
+        F.transform(F.filter("t", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss"),
+        attachments.alias("attachments"),
         F.size("t").cast("long").alias("n_turns"),
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
+        F.aggregate(attachments, F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
     )
 
 

@@ -67,11 +67,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
-    done = chat.format_chat(rows).select("conv_id", "formatted", "loss").withColumn("turns", chat.parse_chat(F.col("formatted"))).withColumn("learned", chat.masked_text(F.col("formatted"), F.col("loss")))
+    done = chat.format_chat(rows).withColumn("turns", chat.parse_chat(F.col("formatted"))).withColumn("learned", chat.masked_text(F.col("formatted"), F.col("loss")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens",
     )
 
 
@@ -84,7 +85,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(size)::BIGINT AS formatted_chars
+  sum(size)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM s GROUP BY conv_id
 """
 

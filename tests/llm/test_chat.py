@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -44,6 +45,34 @@ def test_typed_parts(spark):
     assert got.expanded_tokens == 313
 
 
+def test_many_parts_against_brute_force(spark):
+    """Placeholders, attachments, tokens and the mask of random conversations, written by a plain loop."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for c in range(20):
+        formatted, loss, held, tokens = "", [], [], 0
+        for t in range(rng.randrange(1, 12)):
+            role, parts, body = rng.choice(["user", "assistant"]), [], ""
+            for j in range(rng.randrange(0, 7)):
+                kind = rng.choice(["text", "image", "audio", "document"])
+                text = rng.choice(["", "plain", "<|image:|>", "a [b] \\l", "|>:|>", "<|audio:3|>"])
+                parts.append((kind, text, f"r{c}.{t}.{j}", rng.randrange(100)))
+                if kind == "text":
+                    body += text.replace("\\", "\\e").replace("<", "\\l").replace("[", "\\b")
+                else:
+                    body += f"<|{kind}:{len(held)}|>"
+                    held.append((len(held), t, j, kind, *parts[-1][2:]))
+                    tokens += parts[-1][3]
+            rows.append((c, t, role, parts))
+            formatted += f"{chat.START}{role}{chat.SEP}"
+            loss += [(len(formatted), len(body))] if role == "assistant" else []
+            formatted += body + chat.END
+        want[c] = (formatted, loss, held, tokens)
+    rng.shuffle(rows)
+    got = chat.format_chat(spark.createDataFrame(rows, PARTS)).collect()
+    assert {r.conv_id: (r.formatted, [tuple(x) for x in r.loss], [tuple(x) for x in r.attachments], r.expanded_tokens) for r in got} == want
+
+
 def test_order_ties_and_nulls(spark):
     rows = [(1, 2, "user", "third"), (1, 1, "b", "second"), (1, 1, "a", "first"), (1, None, None, "zero"), (None, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "assistant", "w " * 50_000)]
     got = formatted(spark, rows)
