@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from made_up import prose
 from pyspark.sql import functions as F
 
@@ -55,6 +57,59 @@ def test_automaton_takes_the_longest_match():
     assert spans("core text") == []
 
 
+def as_expression(template):
+    """A template as a regular expression over words that each end in a space."""
+    out = ""
+    for part in re.findall(r"<<[^>]*>>|[^<]+", template):
+        if part.startswith("<<var"):
+            out += f"(?:[^ ]+ ){{0,{re.search('max=([0-9]+)', part)[1]}}}"
+        elif part.startswith("<<"):
+            out += "(?:" if part == "<<beginOptional>>" else ")?"
+        else:
+            out += "".join(f"{w} " for w in part.split())
+    return re.compile(out)
+
+
+def instance(rng, template, change):
+    """Wording that a template accepts, with some mandatory or optional word replaced where ``change``."""
+    out, keep = [], [True]
+    for part in re.findall(r"<<[^>]*>>|[^<]+", template):
+        if part == "<<beginOptional>>":
+            keep.append(keep[-1] and rng.random() < 0.6)
+        elif part == "<<endOptional>>":
+            keep.pop()
+        elif keep[-1]:
+            out += prose(rng.randrange(999), rng.randrange(int(re.search("max=([0-9]+)", part)[1]) + 1)) if part.startswith("<<var") else part.split()
+    if change:
+        out[rng.randrange(len(out))] = "altered"
+    return out
+
+
+def test_templates_against_brute_force(spark, documents):
+    """Every template, whole licenses too: labels, spans and scores as regular expressions find them."""
+    rng = random.Random(5)
+    texts = []
+    for n, (_, t) in enumerate(ls.TEMPLATES * 4):
+        texts.append(prose(n, 4) + instance(rng, t, n // len(ls.TEMPLATES) % 2 == 1) + prose(n + 1, rng.randrange(3)) + (instance(rng, rng.choice(ls.TEMPLATES)[1], False) if n % 3 == 0 else []))
+    got = scan(documents([(i, " ".join(w).title() if i % 2 else ", ".join(w)) for i, w in enumerate(texts)]))
+    automata = [ls.Automaton(label, t) for label, t in ls.TEMPLATES]
+    assert {label for label, _ in ls.TEMPLATES} == {m.label for r in got.values() for m in r.matches}
+    for i, words in enumerate(texts):
+        want, strongest = [], [len(p.split()) for p in ls.PHRASES if f" {p} " in f" {' '.join(words)} "]
+        line = "".join(f"{w} " for w in words)
+        starts = [0, *(m.end() for m in re.finditer(" ", line))]
+        for (label, t), automaton in zip(ls.TEMPLATES, automata):
+            if accepted := [m for m in (as_expression(t).match(line, at) for at in starts[:-1]) if m]:
+                want.append(label)
+                strongest.append(automaton.mandatory)
+                for m in got[i].matches:
+                    if m.label == label:
+                        assert as_expression(t).fullmatch("".join(f"{w} " for w in words[m.start : m.end])) or sum(x == label for x, _ in ls.TEMPLATES) > 1
+                assert any(m.label == label and m.start <= starts.index(accepted[0].start()) for m in got[i].matches)
+        assert {m.label for m in got[i].matches} == set(want), line
+        assert got[i].score == pytest.approx(1 - 0.85 ** max(strongest, default=0))
+
+
 def test_edges(spark, documents):
     docs = documents([(1, None), (2, ""), (3, "\x00!"), (None, "under the mit license"), (4, "under the mit license " * 5000), (5, "cc by"), (6, "nc cc by nc"), (6, "nc cc by nc")]).withColumn("score", F.lit("x")).withColumn("matches", F.lit(0))
     got = ls.scan(docs).collect()
