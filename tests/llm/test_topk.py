@@ -25,7 +25,7 @@ def brute(rows, k, divisor):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 300)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 900)
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 16).tolist(), 0) for i in range(1000)]
@@ -36,7 +36,10 @@ def test_bounds_hold_for_large_blocks():
     rng = np.random.default_rng(4)
     x = np.floor(rng.normal(0, 200, (5000, 24)))
     q = x[:40]
-    row, ids, score = topk.best(q, np.arange(40), x, np.arange(5000), 10)
+    best = topk.Best(q, np.arange(40), 10)
+    for s in range(0, 5000, 1700):
+        best.offer(x[s : s + 1700], np.arange(s, min(s + 1700, 5000)))
+    row, ids, score = best.rows()
     for r in range(40):
         all_scores = sorted(((-s, i) for i, s in enumerate((x @ q[r]).astype(int).tolist()) if i != r))[:10]
         assert [(-s, i) for s, i in all_scores] == list(zip(score[row == r].tolist(), ids[row == r].tolist()))
@@ -54,6 +57,11 @@ def test_repeated_rows_and_empty_table(spark):
     assert search(spark, [], 10, 1).count() == 0
 
 
+def test_vectors_of_different_lengths(spark):
+    rows = [(i, [0.5] * (i % 7), 0) for i in range(40)]
+    assert {tuple(r) for r in search(spark, rows, 10, 5).collect()} == brute([(i, v + [0.0] * (7 - len(v)), y) for i, v, y in rows], 10, 5)
+
+
 def test_very_large_components(spark):
     rows = [(0, [1e30], 0), (1, [1e30], 0), (2, [-1e30], 0)]
     got = sorted((r.rank, r.vec_id, r.score) for r in search(spark, rows, 10, 100).collect())
