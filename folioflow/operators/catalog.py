@@ -81,32 +81,44 @@ def missing(models: DataFrame, listing: DataFrame) -> DataFrame:
     return models.join(installed(listing), "directory", "left_anti")
 
 
+def shortest_routes(models: list[tuple[int, str, str, str]]) -> dict[tuple[str, str], list[str]]:
+    """Directories of the shortest path between any two languages of (ord, directory, source, target).
+
+    One breadth-first pass per language that keeps one path per pair. Among shortest paths the
+    one with the smallest catalog order, edge by edge, is taken.
+    """
+    edges = sorted(models)
+    found: dict[tuple[str, str], list[str]] = {}
+    for start in {m[2] for m in edges} | {m[3] for m in edges}:
+        # (orders, directories) of the best way to each language of the last layer.
+        layer: dict[str, tuple[list[int], list[str]]] = {start: ([], [])}
+        while layer:
+            found |= {(start, at): way[1] for at, way in layer.items()}
+            after: dict[str, tuple[list[int], list[str]]] = {}
+            for order, directory, source, target in edges:
+                if source in layer and (start, target) not in found:
+                    way = ([*layer[source][0], order], [*layer[source][1], directory])
+                    after[target] = min(after.get(target, way), way)
+            layer = after
+    return found
+
+
 def routes(models: DataFrame) -> DataFrame:
     """(source, target, route): directories of the shortest path between any two languages of the graph.
 
-    The route from a language to itself is empty; pairs without a path are absent. Among
-    shortest paths the one with the smallest catalog order, edge by edge, is taken.
+    The route from a language to itself is empty; pairs without a path are absent. The catalog
+    is a list of installed models, so it is walked on the driver.
     """
-    view = f"_models_{id(models)}"
-    models.createOrReplaceTempView(view)
-    spark = models.sparkSession
-    nodes = f"SELECT source AS n FROM {view} UNION SELECT target FROM {view}"
-    walked = spark.sql(f"""
-        WITH RECURSIVE walk(source, target, seen, path, dirs) AS (
-          SELECT n, n, array(n), CAST(array() AS array<int>), CAST(array() AS array<string>) FROM ({nodes})
-          UNION ALL
-          SELECT w.source, m.target, array_append(w.seen, m.target), array_append(w.path, m.ord), array_append(w.dirs, m.directory)
-          FROM walk w JOIN {view} m ON m.source = w.target WHERE NOT array_contains(w.seen, m.target))
-        SELECT source, target, path, dirs FROM walk""")
-    return walked.groupBy("source", "target").agg(F.min_by("dirs", F.struct(F.size("path"), F.col("path"))).alias("route"))
+    rows = [tuple(r) for r in models.select("ord", "directory", "source", "target").collect()]
+    return values(models.sparkSession, [(*pair, way) for pair, way in sorted(shortest_routes(rows).items())], "source string, target string, route array<string>")
 
 
 def route_on_driver(models: DataFrame, source: str, target: str) -> list[str]:
     """One route, at most as long as the catalog; raises LookupError without one."""
-    found = routes(models).filter((F.col("source") == source) & (F.col("target") == target)).select("route").take(1)
-    if not found:
+    found = shortest_routes([tuple(r) for r in models.select("ord", "directory", "source", "target").collect()])
+    if (source, target) not in found:
         raise LookupError(f"no route from {source} to {target}")
-    return found[0]["route"]
+    return found[source, target]
 
 
 def route_matrix(languages: DataFrame, models: DataFrame) -> DataFrame:

@@ -44,14 +44,16 @@ def distinct_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def translate_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    english = _docs(spark, sf).filter("lang = 'en'").select("doc_id", "text")
-    return translate.translate_hop(english, translate.bracket_model).withColumnRenamed("text", "translated")
+    docs = _docs(spark, sf).select("doc_id", "text")
+    return translate.translate_hop(docs, translate.bracket_model).select("doc_id", F.col("text").alias("translated"), "failed")
 
 
 def translate_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    german = _docs(spark, sf).filter("lang = 'de'").select("doc_id", "text")
-    hops = len(catalog.route_on_driver(catalog.models(spark), "de", "hi"))
-    return translate.translate(german, [translate.bracket_model] * hops).withColumnRenamed("text", "translated")
+    """Every document to Hindi by its own route: none, one model, or two."""
+    docs = _docs(spark, sf).select("doc_id", F.col("lang").alias("source"), "text")
+    routes = catalog.routes(catalog.models(spark))
+    done = translate.translate_routed(docs, routes, "hi", translate.bracket_model, longest=2)
+    return done.select("doc_id", "hops", F.col("text").alias("translated"), "error_code")
 
 
 def document_report(spark: SparkSession, sf: str, target: str = "hi") -> DataFrame:
@@ -89,6 +91,14 @@ def cache_retention(spark: SparkSession, sf: str) -> DataFrame:
     return translate.retained(_cache(spark, sf), 50).select("sentence", "last_used")
 
 
+def cache_write_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache of ``benchmark`` after a run over all documents, with room for 400 entries: the limit is the operator's."""
+    cache, direction = _cache(spark, sf).withColumn("pair", F.lit("en->de")), F.lit("en->de")
+    wanted = translate.distinct_sentences(translate.exploded(_docs(spark, sf).withColumn("pair", direction)))
+    used = translate.translations(wanted, translate.bracket_model, cache)
+    return translate.written_back(cache, used, 1000, 400).select("pair", "sentence", "translation", "last_used")
+
+
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     return translate.batch_plan(translate.distinct_sentences(translate.exploded(_docs(spark, sf))).select("sentence"))
 
@@ -108,6 +118,12 @@ _WARM = _DISTINCT + ",\n" + oracle.pieces("SELECT item_id AS id, text FROM bench
 _BATCHES = _DISTINCT + ",\nranked AS (SELECT sentence, length(sentence) AS length, row_number() OVER (ORDER BY length(sentence) DESC, sentence) - 1 AS rnk FROM wanted), batches AS (SELECT sentence, length, rnk // 24 AS batch_id, (rnk % 24)::INT AS slot FROM ranked)"
 
 
+#: Hops of the shortest way from each language to Hindi, found in the catalog of models.
+_HOPS = """model(s, t) AS (VALUES ('en', 'de'), ('de', 'en'), ('en', 'hi'), ('hi', 'en')),
+walk(s, t, n) AS (SELECT DISTINCT s, s, 0 FROM model UNION SELECT walk.s, model.t, n + 1 FROM walk JOIN model ON model.s = walk.t WHERE n < 4),
+hops AS (SELECT s AS lang, min(n)::BIGINT AS hops FROM walk WHERE t = 'hi' GROUP BY s)"""
+
+
 def _hop(pieces: str) -> str:
     return f"SELECT id, string_agg(CASE WHEN translatable THEN '[' || text || ']' ELSE text END, '' ORDER BY pos) AS text FROM {pieces} GROUP BY id"
 
@@ -115,7 +131,7 @@ def _hop(pieces: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_pieces, sentence_pieces, reassembly_check, sentence_stats_by_lang, distinct_sentences, translate_one_hop, translate_pivot, document_report, cache_hits, cache_pending, cache_retention,
+        paragraph_pieces, sentence_pieces, reassembly_check, sentence_stats_by_lang, distinct_sentences, translate_one_hop, translate_pivot, document_report, cache_hits, cache_pending, cache_retention, cache_write_back,
         batch_plan, length_buckets, long_sentence_split,
     )
 }
@@ -125,15 +141,19 @@ ORACLES = {
     "reassembly_check": _PIECES + " SELECT d.doc_id, coalesce(n, 0) AS n_pieces, coalesce(t, '') = coalesce(d.text, '') AS lossless FROM documents d LEFT JOIN (SELECT id, count(*) AS n, string_agg(text, '' ORDER BY pos) AS t FROM piece GROUP BY id) ON id = d.doc_id",
     "sentence_stats_by_lang": _PIECES + " SELECT lang, count(*) AS sentences, count(DISTINCT piece.text) AS distinct_sentences, sum(length(piece.text))::BIGINT AS characters FROM piece JOIN documents ON id = doc_id WHERE translatable GROUP BY lang",
     "distinct_sentences": _DISTINCT + " SELECT sentence, uses FROM wanted",
-    "translate_one_hop": "WITH RECURSIVE " + oracle.pieces("SELECT doc_id AS id, text FROM documents WHERE lang = 'en'") + f" SELECT id AS doc_id, text AS translated FROM ({_hop('piece')})",
-    "translate_pivot": "WITH RECURSIVE " + oracle.pieces("SELECT doc_id AS id, text FROM documents WHERE lang = 'de'") + ",\n" + oracle.pieces(_hop("piece"), suffix="2") + f" SELECT id AS doc_id, text AS translated FROM ({_hop('piece2')})",
-    "document_report": _PIECES + """, st AS (SELECT lang, count(*) AS s, count(DISTINCT piece.text) AS u FROM piece JOIN documents ON id = doc_id WHERE translatable GROUP BY lang)
+    "translate_one_hop": _PIECES + f" SELECT d.doc_id, coalesce(h.text, '') AS translated, 0::BIGINT AS failed FROM documents d LEFT JOIN ({_hop('piece')}) h ON h.id = d.doc_id",
+    "translate_pivot": "WITH RECURSIVE " + _HOPS + ",\n" + oracle.pieces("SELECT doc_id AS id, text FROM documents JOIN hops USING (lang)") + ",\n" + oracle.pieces(f"SELECT h.id, h.text FROM ({_hop('piece')}) h JOIN documents ON doc_id = h.id JOIN hops USING (lang) WHERE hops = 2", suffix="2")
+    + f""" SELECT d.doc_id, hops, CASE hops WHEN 0 THEN d.text WHEN 1 THEN coalesce(a.text, '') WHEN 2 THEN coalesce(b.text, '') END AS translated, CASE WHEN hops IS NULL THEN 'NO_ROUTE' END AS error_code
+FROM documents d LEFT JOIN hops USING (lang) LEFT JOIN ({_hop('piece')}) a ON a.id = d.doc_id LEFT JOIN ({_hop('piece2')}) b ON b.id = d.doc_id""",
+    "document_report": _PIECES + f", {_HOPS}" + """, st AS (SELECT lang, count(*) AS s, count(DISTINCT piece.text) AS u FROM piece JOIN documents ON id = doc_id WHERE translatable GROUP BY lang)
 SELECT d.lang, count(*) AS documents, any_value(h.hops) AS hops, CASE WHEN any_value(h.hops) IS NULL THEN 'NO_ROUTE' END AS error_code, coalesce(any_value(s), 0) AS sentences, coalesce(any_value(u), 0) AS distinct_sentences,
   round(1 - any_value(u) / any_value(s), 6) AS repeat_share
-FROM documents d LEFT JOIN st ON st.lang = d.lang LEFT JOIN (VALUES ('en', 1::BIGINT), ('de', 2), ('hi', 0)) h(lang, hops) ON h.lang = d.lang GROUP BY d.lang""",
+FROM documents d LEFT JOIN st ON st.lang = d.lang LEFT JOIN hops h ON h.lang = d.lang GROUP BY d.lang""",
     "cache_hits": _WARM + " SELECT sentence, translation FROM wanted JOIN cache USING (sentence)",
     "cache_pending": _WARM + " SELECT sentence FROM wanted ANTI JOIN cache USING (sentence)",
     "cache_retention": "WITH RECURSIVE " + oracle.pieces("SELECT item_id AS id, text FROM benchmark") + " SELECT text AS sentence, max(id) AS last_used FROM piece WHERE translatable GROUP BY text ORDER BY last_used DESC, sentence DESC LIMIT 50",
+    "cache_write_back": _WARM + """ SELECT 'en->de' AS pair, sentence, arg_max(translation, last_used) AS translation, max(last_used) AS last_used
+FROM (SELECT sentence, translation, last_used FROM cache UNION ALL SELECT sentence, '[' || sentence || ']', 1000 FROM wanted) GROUP BY sentence ORDER BY last_used DESC, sentence DESC LIMIT 400""",
     "batch_plan": _BATCHES + " SELECT sentence, length, batch_id, slot FROM batches",
     "length_buckets": _BATCHES + r""", counted AS (
   SELECT batch_id, list_sort(list(len(regexp_extract_all(sentence, '[^\s\x1c-\x1f]+')))) AS t FROM batches GROUP BY batch_id),
