@@ -9,13 +9,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Scan tasks of a table that is still dealt anew; at the default task size that moves 4 GB at most.
+FEW_TASKS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer tasks than that, as one small file does.
+    """``df`` over all cores where its files give only a few tasks, as one small file does.
 
-    For inputs of any size beyond the cores it changes nothing and moves nothing.
+    For inputs of any size beyond that it changes nothing and moves nothing, whatever the cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < min(cores, FEW_TASKS) else df
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
