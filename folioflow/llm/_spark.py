@@ -2,63 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.sources import spread
+from folioflow.storage import discard, durable
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    Where neither is set, a local session has a temporary folder; on a cluster, whose
-    executors do not see the driver's disk, that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    if folder is None:
-        set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_by_call.get() if set_by_call.isDefined() else None
-    if folder is None:
-        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="folioflow-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there.
-
-    A lost executor costs no recomputation of what was written. The files go when the
-    session's file systems close. Shuffle files behind ``df`` are of no use any more; a
-    collection on the driver lets Spark's cleaner find their plans dead and delete them, so
-    that a chain of steps does not pile them up on the executors' disks.
-    """
-    spark = df.sparkSession
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = f"{shared_folder(spark)}/folioflow-{uuid.uuid4().hex}"
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(at)
-    jvm.System.gc()
-    back = spark.read.schema(df.schema).parquet(at)
-    back._folder = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``durable`` table that nothing will read again."""
-    folder = getattr(df, "_folder", None)
-    if folder is not None:
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+__all__ = ["discard", "durable", "read", "remainder"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

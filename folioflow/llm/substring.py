@@ -3,13 +3,15 @@
 Every document's words are parsed by the same rules: short runs of one word become one
 symbol, then in each of ``ROUNDS`` rounds all symbols fall into two sides by a hash of their
 name, and each adjacent left-right pair becomes one symbol named by its parts. Names are
-content hashes, so they are global without a dictionary: equal passages get equal interior
-symbols in any document and on any executor. With each symbol the parse records its
-*context*, the exact span of words that decided it. A window of 50 words sees the symbols
-whose context lies inside it, which is a function of the window's words alone; it picks the
-one with the smallest context hash. So equal windows always pick the same symbol, and that
-symbol's name is their join key. A window that sees no symbol (long runs of one word) is its
-own key. Nothing is lost by this, whatever the text.
+content hashes, so they are global without a dictionary and the rounds run inside one Arrow
+pass instead of one Spark round each: equal passages get equal interior symbols in any
+document and on any executor. With each symbol the parse records its *context*, the exact
+span of words that decided it, and so its name. A window of 50 words sees the symbols whose
+context lies inside it, which is a function of the window's words alone; it picks the one
+with the smallest context hash. So equal windows always pick the same symbol, and the hash
+of that context is their join key. A window that sees no symbol (long runs of one word) is
+its own key. Nothing is lost by this, whatever the text. Words and spans are compared by
+hashes: a match is agreement of key and window, 128 bits together.
 
 Neighbouring windows with the same pick form a segment, about one per 18 words. Segments
 with equal key and equal words are one variant. If a key has one variant, all its windows
