@@ -85,7 +85,12 @@ GLYPHS = "array<struct<pos:long,text:string,x0:double,y0:double,x1:double,y1:dou
 
 
 def pages(glyphs: DataFrame) -> DataFrame:
-    """(doc_id, page_index, glyphs) from one row a glyph, in order of ``pos``: one shuffle. A source of whole pages gives this itself."""
+    """(doc_id, page_index, glyphs) from one row a glyph, in order of ``pos``: one shuffle. A source of whole pages gives this itself.
+
+    Where there is a column ``direction``, only glyphs set from left to right are taken.
+    """
+    if "direction" in glyphs.columns:
+        glyphs = glyphs.filter(horizontal(F.col("direction")))
     fields = [f.split(":")[0] for f in GLYPHS.removeprefix("array<struct<").removesuffix(">>").split(",")]
     return glyphs.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(GLYPHS).alias("glyphs"))
 

@@ -14,6 +14,9 @@ MODEL_LISTING = [(d, f) for d in ("opus-mt-en-de", "opus-mt-de-en", "opus-mt-en-
 FONT_LISTING = [(0, "/sys", "Arial.TTF"), (0, "/sys", "arialbd.ttf"), (1, "/user", "arial.ttf"), (1, "/user", "Zapf.otf"), (2, "/app", "NotoSansDevanagari-Regular.ttf"), (2, "/app", "notes.txt")]
 
 
+OCR_LISTING = ("List of available languages (3):", "eng", " deu ", "", "osd", "two words")
+
+
 def _model_listing(spark: SparkSession) -> DataFrame:
     return catalog.values(spark, MODEL_LISTING, "directory string, file string")
 
@@ -64,7 +67,7 @@ def font_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ocr_support(spark: SparkSession, sf: str) -> DataFrame:
-    lines = catalog.values(spark, list(enumerate(["List of available languages (3):", "eng", " deu ", "", "osd", "two words"])), "pos int, line string")
+    lines = catalog.values(spark, list(enumerate(OCR_LISTING)), "pos int, line string")
     have = catalog.ocr_languages(lines).agg(F.collect_set("code").alias("have"))
     return catalog.languages(spark).crossJoin(F.broadcast(have)).select("code", catalog.supports(F.col("ocr_code"), F.col("have")).alias("supported"))
 
@@ -96,6 +99,7 @@ def tsv_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 _LANGS = "langs(menu_order, code, english_name, script, ocr_code) AS (VALUES (0, 'en', 'English', 'latin', 'eng'), (1, 'de', 'German', 'latin', 'deu'), (2, 'hi', 'Hindi', 'devanagari', 'hin'))"
 _MODELS = "models(ord, directory, source, target) AS (VALUES (0, 'opus-mt-en-de', 'en', 'de'), (1, 'opus-mt-de-en', 'de', 'en'), (2, 'opus-mt-en-hi', 'en', 'hi'), (3, 'opus-mt-hi-en', 'hi', 'en'))"
+_FONTS = "wanted(script, weight, rank, key) AS (VALUES " + ", ".join(f"('{s}', '{w}', {i}, '{f.lower()}')" for (s, w), files in catalog.FONTS.items() for i, f in enumerate(files)) + ")"
 _FILES = "files(directory, file) AS (VALUES " + ", ".join(f"('{d}', '{f}')" for d, f in MODEL_LISTING) + ")"
 _INSTALLED = _MODELS + ", " + _FILES + ", whole AS (SELECT directory FROM files WHERE file IN ('model.bin', 'source.spm', 'target.spm') GROUP BY directory HAVING count(DISTINCT file) = 3), have AS (SELECT * FROM models SEMI JOIN whole USING (directory))"
 
@@ -119,8 +123,13 @@ ORACLES = {
     "route_matrix": f"WITH RECURSIVE {_LANGS}, {_INSTALLED}, {_walk('have')} SELECT a.code AS source, b.code AS target, coalesce(len(route) > 0, false) AS has_route, coalesce(len(route) > 1, false) AS pivots, len(route)::INT AS hops FROM langs a JOIN langs b ON a.code <> b.code LEFT JOIN routes r ON r.source = a.code AND r.target = b.code",
     "route_paths": f"WITH RECURSIVE {_MODELS}, {_walk('models')} SELECT source, target, array_to_string(route, ',') AS route, CASE WHEN len(route) > 1 THEN 'via pivot' ELSE '' END AS note FROM routes",
     "reachable_targets": f"WITH RECURSIVE {_LANGS}, {_INSTALLED}, {_walk('have')} SELECT source, string_agg(target, ',' ORDER BY menu_order) AS targets FROM routes JOIN langs ON code = target WHERE source <> target GROUP BY source",
-    "font_choice": "SELECT * FROM (VALUES ('latin', '/sys/Arial.TTF', '/sys/arialbd.ttf', NULL, 'FArial'), ('devanagari', '/app/NotoSansDevanagari-Regular.ttf', '/app/NotoSansDevanagari-Regular.ttf', NULL, 'FNotoSansDevanagariRegula')) t(script, regular, bold_or_regular, error_code, alias)",
-    "ocr_support": "SELECT * FROM (VALUES ('en', true), ('de', true), ('hi', false)) t(code, supported)",
+    "font_choice": f"""WITH {_FONTS}, files(dir_rank, directory, file) AS (VALUES {', '.join(map(str, FONT_LISTING))}),
+found AS (SELECT lower(file) AS key, directory || '/' || file AS path FROM files WHERE regexp_matches(lower(file), '[.](ttf|otf|ttc)$') QUALIFY row_number() OVER (PARTITION BY lower(file) ORDER BY dir_rank, directory || '/' || file) = 1),
+best AS (SELECT script, arg_min(path, rank) FILTER (weight = 'regular' AND path IS NOT NULL) AS r, arg_min(path, rank) FILTER (weight = 'bold' AND path IS NOT NULL) AS b FROM wanted LEFT JOIN found USING (key) GROUP BY script),
+chosen AS (SELECT script, b, coalesce(r, CASE WHEN script = 'latin' THEN (SELECT min(path) FROM found) END) AS regular FROM best)
+SELECT script, regular, coalesce(b, regular) AS bold_or_regular, CASE WHEN regular IS NULL THEN 'FONT_NOT_FOUND' END AS error_code, 'F' || left(regexp_replace(regexp_extract(regular, '([^/]*)[.][^.]*$', 1), '[^0-9A-Za-z]', '', 'g'), 24) AS alias FROM chosen""",
+    "ocr_support": f"""WITH {_LANGS}, listing(pos, line) AS (VALUES {', '.join(map(str, enumerate(OCR_LISTING)))}), have AS (SELECT trim(line) AS code FROM listing WHERE pos >= 1 AND trim(line) <> '' AND NOT contains(trim(line), ' '))
+SELECT code, ocr_code IN (SELECT code FROM have) AS supported FROM langs""",
     "scan_report": layout_queries.ORACLES["scan_or_text"].replace("\nSELECT doc_id, page_index", ", f AS (SELECT doc_id, page_index", 1) + """ FROM_E)
 SELECT doc_id, coalesce(string_agg((page_index + 1)::VARCHAR, ',' ORDER BY page_index) FILTER (recognised), '') AS recognised_pages, coalesce(string_agg((page_index + 1)::VARCHAR, ',' ORDER BY page_index) FILTER (skipped), '') AS skipped_pages,
   bool_or(recognised) AS used_ocr, CASE WHEN sum(used_blocks) = 0 THEN CASE WHEN bool_or(recognised) THEN 'NO_TEXT_AFTER_OCR' ELSE 'NO_TEXT' END END AS error_code, 'doc.' || doc_id || '.hi.pdf' AS output_name FROM f GROUP BY doc_id""",

@@ -69,13 +69,13 @@ ORACLES = {
     "selection_rules": f"WITH {_STATES} SELECT s, t, chosen, chosen || '->' || CASE WHEN t = chosen THEN alt ELSE t END AS by_source, CASE WHEN s = chosen THEN alt ELSE s END || '->' || chosen AS by_target, t || '->' || s AS swapped FROM st",
     "version_parts": "WITH v(version) AS (VALUES " + ", ".join(f"('{v}')" for v in VERSIONS) + ") SELECT version, array_to_string([CASE WHEN regexp_full_match(p, '[0-9]+') THEN p ELSE '0' END FOR p IN (string_split(version, '.') || ['0', '0', '0'])[1:4]], ', ') AS parts FROM v",
     "directory_size": "WITH f(path, length) AS (VALUES " + ", ".join(f"('{p}', {n}::BIGINT)" for p, n in FILES) + ") SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, count(*) AS files, sum(length)::BIGINT AS bytes FROM f GROUP BY 1",
-    "wanted_data": "SELECT * FROM (VALUES ('eng', true), ('deu', false), ('hin', false), ('osd', true)) t(code, present)",
+    "wanted_data": f"WITH {catalog_queries._LANGS}, have(code) AS (VALUES ('eng'), ('osd'), ('fra'), ('eng')), w AS (SELECT ocr_code AS code FROM langs UNION ALL SELECT 'osd') SELECT code, code IN (SELECT code FROM have) AS present FROM w",
     "character_counter": "SELECT doc_id, length(coalesce(text, '')) || CASE WHEN length(coalesce(text, '')) = 1 THEN ' character' ELSE ' characters' END AS counter FROM documents",
     "missing_banner": f"SELECT string_agg(directory, ', ' ORDER BY directory) AS missing FROM ({catalog_queries.ORACLES['missing_models']})",
     "self_test": f"""SELECT 'models' AS name, count(*) = 0 AS passed, CASE WHEN count(*) = 0 THEN 'ok' ELSE 'FAIL' END AS severity, 'every model has its files' AS detail FROM ({catalog_queries.ORACLES['missing_models']})
 UNION ALL SELECT 'routes', bool_and(has_route), CASE WHEN bool_and(has_route) THEN 'ok' ELSE 'FAIL' END, 'every pair has a route' FROM ({catalog_queries.ORACLES['route_matrix']})
-UNION ALL SELECT 'fonts', true, 'ok', 'every script has a font'
-UNION ALL SELECT 'recognition', false, 'warn', 'every language can be recognised'
+UNION ALL SELECT 'fonts', bool_and(error_code IS NULL), CASE WHEN bool_and(error_code IS NULL) THEN 'ok' ELSE 'FAIL' END, 'every script has a font' FROM ({catalog_queries.ORACLES['font_choice']})
+UNION ALL SELECT 'recognition', bool_and(supported), CASE WHEN bool_and(supported) THEN 'ok' ELSE 'warn' END, 'every language can be recognised' FROM ({catalog_queries.ORACLES['ocr_support']})
 UNION ALL SELECT 'texts', bool_and(text IS NOT NULL), CASE WHEN bool_and(text IS NOT NULL) THEN 'ok' ELSE 'FAIL' END, 'every document has a text' FROM documents
 UNION ALL SELECT 'sizes', bool_and(n_chars = length(text)), CASE WHEN bool_and(n_chars = length(text)) THEN 'ok' ELSE 'warn' END, 'sizes are those of the texts' FROM documents""",
     "redaction_boxes": f"SELECT doc_id, page_index, block_id, round(x0 - p, 6) AS x0, round(y0 - p, 6) AS y0, round(x1 + p, 6) AS x1, round(y1 + p, 6) AS y1 FROM (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 2.0 ELSE 0.3 END::DOUBLE AS p FROM ({layout_queries.ORACLES['block_style']}))",
