@@ -1,7 +1,7 @@
 """Hooks to decoders, recognisers and models that are not part of this repository.
 
-Each adapter imports its library where it is used and says what is missing. None of them is
-covered by the tests, since no such library or model is at hand here.
+Each adapter imports its library where it is used and says what is missing. The tests run
+them on stand-ins for the libraries, since none of these or a model is at hand here.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ def _glyphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((path, None, None, None, *[None] * 8, error))
             else:
                 for page in pdf:
+                    # Boxes in the coordinates that drawing uses.
+                    page.set_rotation(0)
                     pos = 0
                     for block in page.get_text("rawdict")["blocks"]:
                         for line in block.get("lines", ()):
@@ -60,16 +62,15 @@ def pdf_glyphs(files: DataFrame) -> DataFrame:
 def _recognised(batches: Iterator[pa.RecordBatch], command: str, language: str, timeout: int) -> Iterator[pa.RecordBatch]:
     import subprocess
 
+    def read(png: bytes) -> str | None:
+        try:
+            return subprocess.run([command, "stdin", "stdout", "-l", language, "--psm", "3", "tsv"], input=png, capture_output=True, timeout=timeout, check=True).stdout.decode("utf-8", "replace")
+        except (OSError, subprocess.SubprocessError):
+            return None
+
     for batch in batches:
-        out, errors = [], []
-        for png in batch.column("png").to_pylist():
-            try:
-                done = subprocess.run([command, "stdin", "stdout", "-l", language, "--psm", "3", "tsv"], input=png, capture_output=True, timeout=timeout, check=True)
-                out.append(done.stdout.decode("utf-8", "replace"))
-                errors.append(None)
-            except (OSError, subprocess.SubprocessError):
-                out.append(None)
-                errors.append("OCR_UNAVAILABLE")
+        out = [read(png) for png in batch.column("png").to_pylist()]
+        errors = ["OCR_UNAVAILABLE" if text is None else None for text in out]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "page_index": batch.column("page_index"), "tsv": pa.array(out, pa.string()), "error_code": pa.array(errors, pa.string())})
 
 
@@ -87,8 +88,13 @@ def _translated(batches: Iterator[pa.RecordBatch], folder: str, beam: int) -> It
 
     from folioflow.operators.translate import BATCH
 
-    source, target = (sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{side}.spm") for side in ("source", "target"))
-    model = ctranslate2.Translator(folder, compute_type="int8")
+    try:
+        source, target = (sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{side}.spm") for side in ("source", "target"))
+        model = ctranslate2.Translator(folder, compute_type="int8")
+    except Exception:  # a model that does not load fails its sentences, not the job
+        for batch in batches:
+            yield batch.append_column("translation", pa.nulls(batch.num_rows, pa.string()))
+        return
     for batch in batches:
         texts = batch.column("sentence").to_pylist()
         tokens = source.encode(texts, out_type=str)
@@ -99,22 +105,28 @@ def _translated(batches: Iterator[pa.RecordBatch], folder: str, beam: int) -> It
             group = [i for i in order[:BATCH] if len(tokens[i]) <= 2 * low]
             order = order[len(group) :]
             cap = max(16, 3 * len(tokens[group[-1]]) + 8)
-            done = model.translate_batch([tokens[i] for i in group], beam_size=beam, max_decoding_length=cap, repetition_penalty=1.1, no_repeat_ngram_size=4, replace_unknowns=True)
-            for i, d in zip(group, done):
-                out[i] = target.decode(d.hypotheses[0])
-        yield pa.record_batch({"sentence": batch.column("sentence"), "translation": pa.array(out, pa.string())})
+            try:
+                done = model.translate_batch([tokens[i] for i in group], beam_size=beam, max_decoding_length=cap, repetition_penalty=1.1, no_repeat_ngram_size=4, replace_unknowns=True)
+                made = [target.decode(d.hypotheses[0]) for d in done]
+            except Exception:  # these sentences have failed, the others go on
+                made = [None] * len(group)
+            for i, text in zip(group, made):
+                out[i] = text
+        yield batch.append_column("translation", pa.array(out, pa.string()))
 
 
 def model(folder: str, beam: int = 2):
     """A sentence model for ``folioflow.operators.translate`` from a converted model folder that every executor can read.
 
-    Sentences of similar length share a partition, so that batches need little padding.
+    Sentences of similar length share a partition, so that batches need little padding. What
+    fails has a null translation.
     """
 
     def translate(sentences: DataFrame) -> DataFrame:
         from pyspark.sql import functions as F
 
-        near = sentences.select("sentence").repartitionByRange(F.length("sentence"), "sentence").sortWithinPartitions(F.length("sentence").desc())
-        return near.mapInArrow(lambda b: _translated(b, folder, beam), "sentence string, translation string")
+        key = [c for c in ("pair", "sentence") if c in sentences.columns]
+        near = sentences.select(*key).repartitionByRange(F.length("sentence"), "sentence").sortWithinPartitions(F.length("sentence").desc())
+        return near.mapInArrow(lambda b: _translated(b, folder, beam), ", ".join(f"{c} string" for c in (*key, "translation")))
 
     return translate

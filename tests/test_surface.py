@@ -1,7 +1,8 @@
 import re
+import sys
 import zlib
 
-import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.operators import failures, fit, geometry, layout, tooling
@@ -106,6 +107,71 @@ def test_first_present_and_banner_without_missing(spark):
     assert tooling.start_banners(none, F.lit(True)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in dir(adapters) if not n.startswith("_")])
-def test_adapters_import(name):
-    assert getattr(adapters, name) is not None
+class Stub:
+    """A module or object with the given attributes."""
+
+    def __init__(self, **held):
+        self.__dict__.update(held)
+
+
+def batch(**columns):
+    return pa.record_batch({k: pa.array(v) for k, v in columns.items()})
+
+
+def test_pdf_adapter_on_a_stand_in(monkeypatch):
+    char = lambda c, x: {"c": c, "bbox": (x, 0, x + 5, 9)}
+    line = lambda chars, way: {"dir": way, "spans": [{"chars": chars, "size": 9, "font": "Serif-Bold", "color": 3, "flags": 16}]}
+    turned = []
+    page = Stub(number=0, set_rotation=turned.append, get_text=lambda kind: {"blocks": [{"lines": [line([char("a", 0), char("b", 5)], (1, 0)), line([char("x", 0)], (0, 1))]}, {}]})
+
+    class Document(list):
+        needs_pass = False
+
+    def opened(stream, filetype):
+        if stream == b"broken":
+            raise ValueError(stream)
+        found = Document([page])
+        found.needs_pass = stream == b"locked"
+        return found
+
+    monkeypatch.setitem(sys.modules, "pymupdf", Stub(open=opened))
+    rows = [r for got in adapters._glyphs(iter([batch(path=["1", "2", "3"], content=[b"good", b"broken", b"locked"])])) for r in got.to_pylist()]
+    assert turned == [0]
+    assert [(r["path"], r["text"], r["pos"], r["x0"], r["error_code"]) for r in rows] == [("1", "a", 0, 0.0, None), ("1", "b", 1, 5.0, None), ("2", None, None, None, "CANNOT_OPEN"), ("3", None, None, None, "ENCRYPTED")]
+
+
+def test_recogniser_adapter_on_a_stand_in(tmp_path):
+    tool = tmp_path / "tool"
+    tool.write_text("#!/bin/sh\nread x; test \"$x\" = bad && exit 1; echo \"$x $3 $4\"\n")
+    tool.chmod(0o755)
+    one = batch(doc_id=[1, 2], page_index=pa.array([0, 0], pa.int32()), png=[b"good\n", b"bad\n"])
+    (got,) = adapters._recognised(iter([one]), str(tool), "eng", 20)
+    assert [(r["tsv"], r["error_code"]) for r in got.to_pylist()] == [("good -l eng\n", None), (None, "OCR_UNAVAILABLE")]
+    (got,) = adapters._recognised(iter([one]), str(tmp_path / "none"), "eng", 20)
+    assert got.column("error_code").to_pylist() == ["OCR_UNAVAILABLE"] * 2
+
+
+def test_model_adapter_on_a_stand_in(monkeypatch):
+    calls = []
+
+    def translate_batch(tokens, **options):
+        calls.append((len(tokens), options["max_decoding_length"]))
+        if any("fail" in t for t in tokens):
+            raise RuntimeError("inference")
+        return [Stub(hypotheses=[[w.upper() for w in t]]) for t in tokens]
+
+    class Pieces:
+        def __init__(self, model_file):
+            assert "lost" not in model_file
+
+        encode = staticmethod(lambda texts, out_type: [t.split() for t in texts])
+        decode = staticmethod(" ".join)
+
+    monkeypatch.setitem(sys.modules, "sentencepiece", Stub(SentencePieceProcessor=Pieces))
+    monkeypatch.setitem(sys.modules, "ctranslate2", Stub(Translator=lambda folder, compute_type: Stub(translate_batch=translate_batch)))
+    one = batch(pair=["p"] * 4, sentence=["a b", "c", "w " * 60 + "w", "x x x x x fail"])
+    (got,) = adapters._translated(iter([one]), "folder", 2)
+    assert got.column("translation").to_pylist() == ["A B", "C", "W " * 60 + "W", None]
+    assert calls == [(2, 16), (1, 26), (1, 191)]
+    (got,) = adapters._translated(iter([one]), "lost", 2)
+    assert got.column("translation").null_count == 4
