@@ -10,6 +10,7 @@ fixes an alignment of item and document, which is then compared word by word.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm._spark import durable
 from folioflow.llm._text import NOT_ALNUM, Words, chunks, mix, raw
 
 #: Word positions that a seed reads.
@@ -142,6 +144,18 @@ def _keep(batches: Iterator[pa.RecordBatch], text: str, index: Index) -> Iterato
         yield rows.filter(pa.array(keep))
 
 
+_MADE: dict[str, Index] = {}
+
+
+def _index(shared: tuple) -> Index:
+    """The index of a broadcast block, built once in each worker process; only the last one is kept."""
+    name, *held = shared
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Index(*held)
+    return _MADE[name]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in chunks(batches):
         best = _leaks(data, offsets, index)
@@ -167,14 +181,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Extra columns are ignored. Without documents or items the result is empty.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = [source.mapInArrow(lambda b, s=shared: _scan(b, Index(*s.value)), SCHEMA) for shared in _blocks(benchmark, item_col)]
+    found = [source.mapInArrow(lambda b, s=shared: _scan(b, _index(s.value)), SCHEMA) for shared in _blocks(benchmark, item_col)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs``, with all their columns, that leak no item; no row is moved."""
-    for shared in _blocks(benchmark, item_col):
-        docs = docs.mapInArrow(lambda b, s=shared: _keep(b, text_col, Index(*s.value)), docs.schema)
+    for n, shared in enumerate(_blocks(benchmark, item_col)):
+        # Written between blocks, so that no stage holds two of them.
+        docs = durable(docs) if n else docs
+        docs = docs.mapInArrow(lambda b, s=shared: _keep(b, text_col, _index(s.value)), docs.schema)
     return docs
 
 
@@ -191,5 +207,5 @@ def _blocks(benchmark: DataFrame, item_col: str) -> list:
         if rows.num_rows:
             data, offsets = raw(rows.column("text"))
             w = Words(data, offsets, NOT_ALNUM, lower=True)
-            out.append(benchmark.sparkSession.sparkContext.broadcast((rows.column("item_id").to_numpy(), w.hashes(), w.first)))
+            out.append(benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows.column("item_id").to_numpy(), w.hashes(), w.first)))
     return out

@@ -72,7 +72,7 @@ def test_against_brute_force(spark, documents):
         item = list(items[rng.integers(12)])
         part = item[rng.integers(0, max(1, len(item) - 13)) :]
         for k in range(len(part)):
-            if rng.random() < 0.08:
+            if rng.random() < 0.2:
                 part[k] = "zzz"
         words[60:60] = part
         rows.append((i, words))
@@ -80,15 +80,12 @@ def test_against_brute_force(spark, documents):
     for i, words in rows:
         for j, item in enumerate(items):
             for o in range(-len(item) + 1, len(words)):
-                same = [0 <= o + k < len(words) and words[o + k] == item[k] for k in range(len(item))]
-                # A clean stretch of 13 words is a leak under any reading of the rule.
-                if any(all(same[s : s + 13]) for s in range(len(item) - 12)):
+                same = [words[o + k] == item[k] for k in range(len(item)) if 0 <= o + k < len(words)]
+                if sum(same) >= 11 and qualifies(same, 13):
                     want.add((i, j))
     got = {(r.doc_id, r.item_id) for r in d.contaminated(documents([(i, " ".join(w)) for i, w in rows]), bench(spark, [(j, " ".join(t)) for j, t in enumerate(items)])).collect()}
-    assert want <= got
-    for i, j in got - want:
-        best = max(sum(0 <= o + k < len(rows[i][1]) and rows[i][1][o + k] == items[j][k] for k in range(len(items[j]))) for o in range(-len(items[j]) + 1, len(rows[i][1])))
-        assert best >= 11
+    assert got == want
+    assert 10 < len(want) < 40
 
 
 def qualifies(same, need):
