@@ -131,27 +131,28 @@ def layout_report(spark: SparkSession, sf: str) -> DataFrame:
     return rolled.select("doc_id", "page_count", "block_count", "overflowed_blocks", summary(F.col("page_count"), F.col("block_count"), F.lit(0), F.lit(0), F.col("overflowed_blocks")).alias("summary"))
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    """One page of 200 by 150 pixels: white with a tinted band of dark strokes."""
-    at = spark.range(200 * 150).select(F.lit(1).alias("page"), (F.col("id") % 200).cast("int").alias("px"), F.floor(F.col("id") / 200).cast("int").alias("py"))
-    band = (F.col("py") >= 40) & (F.col("py") < 90)
-    stroke = ((F.col("px") * 7 + F.col("py") * 3) % 11 == 0) & band
-    tone = lambda dark, tint: F.when(stroke, dark).when(band, tint + (F.col("px") % 3)).otherwise(255)
-    return at.select("page", "px", "py", tone(10, 40).alias("r"), tone(240, 60).alias("g"), tone(20, 120).alias("b"))
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector of ``embeddings`` as a page of 8 by 8 pixels, a colour from each component."""
+    at = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page"), F.posexplode("embedding").alias("i", "x"))
+    tone = lambda k: F.floor(F.abs(F.col("x").cast("double")) * k).cast("int") % 256
+    return at.select("page", (F.col("i") % 8).alias("px"), F.floor(F.col("i") / 8).cast("int").alias("py"), tone(97).alias("r"), tone(211).alias("g"), tone(53).alias("b"))
 
 
-def _boxes(spark: SparkSession) -> DataFrame:
-    n = F.col("id").cast("double")
-    return spark.range(12).select(F.lit(1).alias("page"), F.col("id").alias("box_id"), (n * 7 + 2).alias("x0"), (n * 5 + 1).alias("y0"), (n * 7 + 32).alias("x1"), (n * 5 + 9).alias("y1"))
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two boxes a page, a wide and a tall one, that move with the page's number."""
+    turn = F.pmod("vec_id", F.lit(4)) * 0.6
+    boxes = [(0, 1.2, 3.1, 5.3, 4.2), (1, 3.3, 2.2, 4.1, 5.9)]
+    parts = F.array(*(F.struct(F.lit(k).alias("box_id"), *((F.lit(v) + (turn if n[0] == "x" else 0.0)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), sides))) for k, *sides in boxes))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("page"), F.explode(parts).alias("b")).select("page", "b.*")
 
 
 def dominant_colour(spark: SparkSession, sf: str) -> DataFrame:
-    return colour.background(_boxes(spark), _pixels(spark), 2.0).select("page", "box_id", *(F.round(c, 6).alias(c) for c in "rgb"))
+    return colour.background(_boxes(spark, sf), _pixels(spark, sf), 1.0).select("page", "box_id", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
 def ink_colour(spark: SparkSession, sf: str) -> DataFrame:
-    boxes, pixels = _boxes(spark), _pixels(spark)
-    return colour.ink(boxes, colour.background(boxes, pixels, 2.0), pixels, 2.0).select("page", "box_id", *(F.round(c, 6).alias(c) for c in "rgb"))
+    boxes, pixels = _boxes(spark, sf), _pixels(spark, sf)
+    return colour.ink(boxes, colour.background(boxes, pixels, 1.0), pixels, 1.0).select("page", "box_id", *(F.round(c, 6).alias(c) for c in "rgb"))
 
 
 _GAP = r"[\s\x1c-\x1f\p{Z}]"
@@ -213,21 +214,21 @@ pg AS (SELECT doc_id, (r // 50)::INT AS page_index, string_agg(line, chr(10) ORD
 pu AS (SELECT *, length(regexp_replace(t, '[\s\x1c-\x1f]', '', 'g')) >= 12 AS usable FROM pg)"""
 
 _COLOUR = r"""
-pixels AS (SELECT 1 AS page, px, py, CASE WHEN s THEN 10 WHEN b THEN 40 + px % 3 ELSE 255 END AS r, CASE WHEN s THEN 240 WHEN b THEN 60 + px % 3 ELSE 255 END AS g, CASE WHEN s THEN 20 WHEN b THEN 120 + px % 3 ELSE 255 END AS bl
-  FROM (SELECT *, py >= 40 AND py < 90 AND (px * 7 + py * 3) % 11 = 0 AS s, py >= 40 AND py < 90 AS b FROM (SELECT (i % 200)::INT AS px, (i // 200)::INT AS py FROM range(30000) t(i)))),
-boxes AS (SELECT 1 AS page, i AS box_id, (i * 7 + 2)::DOUBLE AS x0, (i * 5 + 1)::DOUBLE AS y0, (i * 7 + 32)::DOUBLE AS x1, (i * 5 + 9)::DOUBLE AS y1 FROM range(12) t(i)),
+pixels AS (SELECT vec_id AS page, i % 8 AS px, i // 8 AS py, floor(abs(x) * 97)::INT % 256 AS r, floor(abs(x) * 211)::INT % 256 AS g, floor(abs(x) * 53)::INT % 256 AS bl
+  FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)),
+boxes AS (SELECT vec_id AS page, box_id, x0 + (vec_id % 4) * 0.6::DOUBLE AS x0, y0, x1 + (vec_id % 4) * 0.6::DOUBLE AS x1, y1 FROM embeddings, (VALUES (0, 1.2::DOUBLE, 3.1::DOUBLE, 5.3::DOUBLE, 4.2::DOUBLE), (1, 3.3, 2.2, 4.1, 5.9)) b(box_id, x0, y0, x1, y1)),
 ring AS (
   SELECT page, box_id, side * 100000 + k AS seq, x0 + k * greatest((x1 - x0) / 12, 1.0) AS x, CASE side WHEN 0 THEN y0 - greatest((y1 - y0) * 0.35, 3.0) ELSE y1 + greatest((y1 - y0) * 0.35, 3.0) END AS y
-  FROM boxes, range(0, 2) a(side), range(0, 200) b(k) WHERE k <= floor((x1 - x0) / greatest((x1 - x0) / 12, 1.0) + 1e-9)
+  FROM boxes, range(0, 2) a(side), range(0, 20) b(k) WHERE k <= floor((x1 - x0) / greatest((x1 - x0) / 12, 1.0) + 1e-9)
   UNION ALL SELECT page, box_id, side * 100000 + k, CASE side WHEN 2 THEN x0 - greatest((y1 - y0) * 0.35, 3.0) ELSE x1 + greatest((y1 - y0) * 0.35, 3.0) END, y0 + k * greatest((y1 - y0) / 6, 1.0)
-  FROM boxes, range(2, 4) a(side), range(0, 200) b(k) WHERE k <= floor((y1 - y0) / greatest((y1 - y0) / 6, 1.0) + 1e-9)),
-hit AS (SELECT ring.*, r, g, bl FROM ring JOIN pixels ON px = round_even(x * 2, 0)::INT AND py = round_even(y * 2, 0)::INT),
+  FROM boxes, range(2, 4) a(side), range(0, 20) b(k) WHERE k <= floor((y1 - y0) / greatest((y1 - y0) / 6, 1.0) + 1e-9)),
+hit AS (SELECT ring.*, r, g, bl FROM ring JOIN pixels USING (page) WHERE px = round_even(x, 0)::INT AND py = round_even(y, 0)::INT),
 bucket AS (SELECT page, box_id, count(*) AS n, min(seq) AS f, avg(r) AS r, avg(g) AS g, avg(bl) AS b FROM hit GROUP BY page, box_id, r // 16, g // 16, bl // 16),
 ground AS (SELECT page, box_id, coalesce(r / 255, 1.0) AS r, coalesce(g / 255, 1.0) AS g, coalesce(b / 255, 1.0) AS b FROM boxes LEFT JOIN (SELECT * FROM bucket QUALIFY row_number() OVER (PARTITION BY page, box_id ORDER BY n DESC, f) = 1) USING (page, box_id))"""
 _INK = _COLOUR + r""",
-stp AS (SELECT *, greatest(1.0, greatest((x1 - x0) * 2, 1.0) / 64) / 2 AS sx, greatest(1.0, greatest((y1 - y0) * 2, 1.0) / 64) / 2 AS sy FROM boxes),
-pt AS (SELECT page, box_id, i * 100000 + j AS seq, x0 + j * sx AS x, y0 + i * sy AS y FROM stp, range(0, 65) a(i), range(0, 65) b(j) WHERE i <= floor((y1 - y0) / sy + 1e-9) AND j <= floor((x1 - x0) / sx + 1e-9)),
-inside AS (SELECT pt.*, r, g, bl, (r * 299 + g * 587 + bl * 114) // 1000 AS luma FROM pt JOIN pixels ON px = round_even(x * 2, 0)::INT AND py = round_even(y * 2, 0)::INT),
+stp AS (SELECT *, greatest(1.0, greatest(x1 - x0, 1.0) / 64) AS sx, greatest(1.0, greatest(y1 - y0, 1.0) / 64) AS sy FROM boxes),
+pt AS (SELECT page, box_id, i * 100000 + j AS seq, x0 + j * sx AS x, y0 + i * sy AS y FROM stp, range(0, 9) a(i), range(0, 9) b(j) WHERE i <= floor((y1 - y0) / sy + 1e-9) AND j <= floor((x1 - x0) / sx + 1e-9)),
+inside AS (SELECT pt.*, r, g, bl, (r * 299 + g * 587 + bl * 114) // 1000 AS luma FROM pt JOIN pixels USING (page) WHERE px = round_even(x, 0)::INT AND py = round_even(y, 0)::INT),
 pick AS (SELECT i.*, row_number() OVER (PARTITION BY i.page, i.box_id ORDER BY CASE WHEN 0.299 * gr.r + 0.587 * gr.g + 0.114 * gr.b > 0.5 THEN luma ELSE -luma END, seq) AS k FROM inside i JOIN ground gr USING (page, box_id))"""
 _KEY = "SELECT doc_id, page_index, block_id"
 
