@@ -1,4 +1,12 @@
-"""A corpus from raw documents to packed training sequences."""
+"""A corpus from raw documents to packed training sequences.
+
+Every stage but the last returns the columns of its input, whatever further columns there
+are and whatever they are called. Nulls in any column are allowed: a null text is empty, a
+row with a null id goes through every stage. Rows are judged one by one, also where an id is
+repeated, with the same text or another; ties go to the smaller id. Texts are read whole, so
+very long ones cost memory in one task but are neither cut nor skipped before packing. An
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
