@@ -154,6 +154,22 @@ def test_pairwise_term_equals_the_sum_over_pairs():
     assert raw[0] == pytest.approx(machine.bias + machine.linear[feature] @ x + pairs)
 
 
+def test_quality_against_brute_force(spark, documents):
+    """The query's scores, from the fitted weights by a double loop over all features of each document."""
+    rows = [(i, " ".join(prose(i, 12 + i % 9)) + ["", " | |", "\nx\nx"][i % 3]) for i in range(60)] + [(90, ""), (91, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], LABELS)
+    machine = quality.train(documents(rows), labels, ~held(5, 0))
+    got = {r.doc_id: r.score for r in quality.score(documents(rows), labels, held(5, 0)).collect()}
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        _, feature, x = machine.rows(*quality.features(data, np.array([0, len(data)])))
+        raw = machine.bias + sum(machine.linear[f] * v for f, v in zip(feature, x))
+        for m in range(len(feature)):
+            for k in range(m):
+                raw += x[m] * x[k] * sum(p * q for p, q in zip(machine.factor[feature[m]], machine.factor[feature[k]]))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
 @pytest.mark.parametrize("score", [toxicity.score, quality.score])
 def test_edge_rows(spark, documents, score):
     docs, labels = toxic_set(spark, documents, 120)

@@ -111,3 +111,29 @@ def test_empty_documents(spark, corpus, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Repeated ids with one text and with two, nulls, ties, a very long text, clashing names."""
+    a, b, c = (" ".join(prose(3000 + i, 60)) for i in range(3))
+    long = " ".join(prose(3100, 30_000))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, None), (5, ""), (None, a), (None, None), (6, long), (7, a)]
+    docs = spark.createDataFrame([(i, t, None, "s", None, 1, "x", 7, "y") for i, t in rows], DOC + ", text_hash long, component_id string, length int, kept string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 0), (3, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (None, b), (1, "too few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        stage = spark.createDataFrame(step(spark, stage, str(tmp_path)).collect(), stage.schema)
+        assert stage.columns == docs.columns, name
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encode = Encoder(tokenizer_path())
+    # Copies of a under larger ids go, b stays though its id has a copy too; a row without an id loses and takes no part.
+    left = [(1, a), (2, b), (3, c), (3, c), (4, ""), (5, ""), (None, a), (None, ""), (6, long)]
+    assert sorted(((r.doc_id, r.text) for r in stage.collect()), key=str) == sorted(left, key=str)
+    want = Counter((i, len(encode(t)) // 4 + 1) for i, t in left)
+    total = Counter()
+    for r in packed:
+        total[r.doc_id] += r.length
+    assert total == Counter({i: sum(n * k for (j, n), k in want.items() if j == i) for i, _ in left})
+    check_layout(packed, 2048)
