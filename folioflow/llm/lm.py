@@ -33,6 +33,8 @@ from folioflow.llm._spark import durable
 from folioflow.llm._text import WHITE, Words, as_long, chunks
 
 DEPTH = 5
+#: The end symbol: a byte that no UTF-8 text has.
+STOP = 0xFF
 PAIRS = 1 << 20
 HEAD = 262_144
 END = np.uint64(0xE2D0F7E87A5B0C11)
@@ -90,13 +92,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with DEPTH zeros before and after each document, positions to score, and their offsets.
+    """Bytes with DEPTH end symbols before and after each document, positions to score, and their offsets.
 
-    The first zero after a document is its end symbol.
+    The first of those after a document is scored as its end.
     """
     n, docs = len(data), len(offsets) - 1
     doc = np.repeat(np.arange(docs), np.diff(offsets))
-    x = np.zeros(n + DEPTH * (docs + 1), np.uint8)
+    x = np.full(n + DEPTH * (docs + 1), STOP, np.uint8)
     x[np.arange(n) + DEPTH * (doc + 1)] = data
     ends = offsets[1:] + DEPTH * np.arange(1, docs + 1)
     scored = np.zeros(len(x), bool)

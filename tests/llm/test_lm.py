@@ -51,12 +51,12 @@ class Tree:
 def brute_score(train, text):
     samples = collections.defaultdict(list)
     for t in train:
-        x = [0] * lm.DEPTH + list(t.encode()) + [0]
+        x = [lm.STOP] * lm.DEPTH + list(t.encode()) + [lm.STOP]
         for i in range(lm.DEPTH, len(x)):
             for k in range(8):
                 samples[(1 << k) | (x[i] >> (8 - k))].append((tuple(x[i - d] for d in range(1, lm.DEPTH + 1)), x[i] >> (7 - k) & 1))
     trees = {k: Tree(v) for k, v in samples.items()}
-    x = [0] * lm.DEPTH + list(text.encode()) + [0]
+    x = [lm.STOP] * lm.DEPTH + list(text.encode()) + [lm.STOP]
     total = 0.0
     for i in range(lm.DEPTH, len(x)):
         c = tuple(x[i - d] for d in range(1, lm.DEPTH + 1))
@@ -83,8 +83,8 @@ def test_base_score(spark, documents, monkeypatch):
 
 
 def test_score_follows_the_definition(spark, documents):
-    train = ["abracadabra", "abra abra", "bad cab", "dab a cab"]
-    rows = [(i, t) for i, t in enumerate(train)] + [(10, "cabra"), (11, "zebra é"), (12, "")]
+    train = ["abracadabra", "abra abra", "bad cab", "dab a cab", "a\0b \0"]
+    rows = [(i, t) for i, t in enumerate(train)] + [(10, "cabra"), (11, "zebra é"), (12, ""), (13, "a\0\0")]
     got = {r.doc_id: r.score for r in lm.score(documents(rows), F.col("doc_id") >= 10).collect()}
     for i, t in rows:
         assert got[i] == pytest.approx(brute_score(train, t), rel=1e-4), t
