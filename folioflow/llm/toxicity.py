@@ -17,6 +17,7 @@ probability by an isotonic fit on leave-one-out votes. The neighbours' ids are t
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from folioflow.llm._labels import Batches, labelled_sample, ranges, unique_counts
 from folioflow.llm._text import NOT_ALNUM, Words, as_long, chunks
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 PRIOR, FLOOR = 4, 0.02
 BLOCK = 256
 #: Blocks that a query reads before its bounds are used.
@@ -79,8 +80,8 @@ def make_index(doc: np.ndarray, term: np.ndarray, value: np.ndarray, vocabulary:
     new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
     at = np.flatnonzero(new)
     top = np.maximum.reduceat(value, at) if len(at) else np.zeros(0)
-    cut = np.searchsorted(term[at], np.arange(len(vocabulary) + 1))
-    return Index(vocabulary, weight, cut, block[at].astype(np.int32), top, np.append(at, len(doc)), doc.astype(np.int32), value, y, ids, without, (np.zeros(0), np.zeros(0)))
+    cut = np.searchsorted(term[at], np.arange(len(vocabulary) + 1)).astype(np.int32)
+    return Index(vocabulary, weight, cut, block[at].astype(np.int32), top, np.append(at, len(doc)).astype(np.int32), doc.astype(np.int32), value, y, ids, without, (np.zeros(0), np.zeros(0)))
 
 
 def unit(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -162,35 +163,32 @@ def fit(table: pa.Table) -> Index | None:
     first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
     term, count = lists.flatten().to_numpy().view(np.uint64), counts.flatten().to_numpy()
     y, ids = table.column("y").to_numpy().astype(float), table.column("doc_id").to_numpy()
-    seen: set[tuple] = set()
-    keep = []
-    for i in range(len(y)):
-        name = (y[i], term[first[i] : first[i + 1]].tobytes(), count[first[i] : first[i + 1]].tobytes())
-        if name not in seen:
-            seen.add(name)
-            keep.append(i)
-    keep = np.array(keep)
+    names = {}
+    for i, (a, b) in enumerate(zip(first, first[1:])):
+        names.setdefault((y[i], hashlib.blake2b(term[a:b].tobytes() + count[a:b].tobytes(), digest_size=16).digest()), i)
+    keep = np.array(sorted(names.values()))
     size = first[keep + 1] - first[keep]
     at = ranges(first[keep], size)
-    doc, term, count, y, ids = np.repeat(np.arange(len(keep)), size), term[at], count[at], y[keep], ids[keep]
-    n, share = len(y), float(y.mean())
+    term, count, y, ids = term[at], count[at], y[keep], ids[keep]
+    del table, lists, counts, at
+    n, share, doc = len(y), float(y.mean()), np.repeat(np.arange(len(keep), dtype=np.int32), size)
     vocabulary, term = np.unique(term, return_inverse=True)
+    term = term.astype(np.int32)
     df, toxic = np.bincount(term, minlength=len(vocabulary)), np.bincount(term, y[doc], len(vocabulary))
     weight = (np.log((n + 1) / (df + 1)) + 1) * relevance(toxic, df, share)
-    value = unit(doc, (1 + np.log(count)) * weight[term], n)
+    # Stored as single precision; bounds and cosines are both taken from the stored weights.
+    value = unit(doc, (1 + np.log(count)) * weight[term], n).astype(np.float32)
+    del count
     some = np.bincount(doc, minlength=n) > 0
     without = (y[~some].sum() + 0.5) / ((~some).sum() + 1) if (~some).any() else (y.sum() + 0.5) / (n + 1)
     # Examples with the same heaviest word stand together, so that block maxima are tight.
-    lead = np.full(n, -1)
-    by = np.lexsort((term, -value, doc))
-    if len(by):
-        lead[doc[by[::-1]]] = term[by[::-1]]
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    lead = np.array([term[a + value[a:b].argmax()] if a < b else -1 for a, b in zip(cut, cut[1:])])
     order = np.lexsort((ids, lead))
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
     y, ids = y[order], ids[order]
     index = make_index(place[doc], term, value, vocabulary, weight, y, ids, float(without))
-    cut = np.searchsorted(doc, np.arange(n + 1))
     drawn = np.flatnonzero(some)
     left_out = [vote(*nearest(term[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]], index, NEIGHBOURS, int(place[i])), y) for i in drawn.tolist()]
     return index._replace(steps=isotonic(np.array(left_out), y[place[drawn]])) if len(drawn) else index
