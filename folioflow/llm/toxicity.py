@@ -18,6 +18,7 @@ probability by an isotonic fit on leave-one-out votes. The neighbours' ids are t
 from __future__ import annotations
 
 import hashlib
+import pickle
 from typing import NamedTuple
 
 import numpy as np
@@ -194,8 +195,21 @@ def fit(table: pa.Table) -> Index | None:
     return index._replace(steps=isotonic(np.array(left_out), y[place[drawn]])) if len(drawn) else index
 
 
+def _fitted(batches: Batches) -> Batches:
+    """The pickled index of all examples, which stand in one row."""
+    for batch in batches:
+        for rows in batch.column("examples"):
+            table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(rows.values)])
+            index = fit(table)
+            yield pa.record_batch({"index": pa.array([pickle.dumps(index and tuple(index))], pa.binary())})
+
+
 def build(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Index | None:
-    return fit(labelled_sample(docs, labels, learn, sample).mapInArrow(_vectors, "doc_id long, y int, term array<long>, count array<int>").toArrow())
+    """The index of a sample of examples. It is fitted on an executor, as the driver's memory would keep what that takes."""
+    found = labelled_sample(docs, labels, learn, sample).mapInArrow(_vectors, "doc_id long, y int, term array<long>, count array<int>")
+    one = found.agg(F.collect_list(F.struct("doc_id", "y", "term", "count")).alias("examples"))
+    index = pickle.loads(one.mapInArrow(_fitted, "index binary").collect()[0]["index"])
+    return index and Index(*index)
 
 
 def rate(data: np.ndarray, offsets: np.ndarray, index: Index | None) -> tuple[np.ndarray, list[list[int]]]:

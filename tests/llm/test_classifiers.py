@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -190,3 +191,17 @@ def test_without_labels_or_documents(spark, documents, score):
     assert [r.score for r in score(documents([(1, "a b")]), none, held(3, 1)).collect()] == [0.5]
     assert score(documents([]), spark.createDataFrame([(1, 1)], LABELS), held(3, 1)).count() == 0
     assert len(score(documents([(1, ""), (2, ""), (3, "")]), spark.createDataFrame([(1, 1), (2, 1), (3, 0)], LABELS), F.lit(False)).collect()) == 3
+
+
+def test_the_index_is_not_fitted_on_the_driver(spark, monkeypatch):
+    driver, plain = os.getpid(), toxicity.fit
+
+    def fit(table):
+        assert os.getpid() != driver
+        return plain(table)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    docs = spark.createDataFrame([(i, f"word{i} again{i % 7}") for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
+    index = toxicity.build(docs, labels, F.lit(True), 50)
+    assert isinstance(index, toxicity.Index) and 0 < len(index.y) <= 50
