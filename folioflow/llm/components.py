@@ -29,3 +29,18 @@ def components(edges: DataFrame) -> DataFrame:
         if jumped.filter(F.col("old") != F.col("component")).isEmpty():
             discard(both)
             return labels
+
+
+def extended(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of the edges behind ``known`` and of further ``edges(a, b)``.
+
+    Only the components of ``known`` that the new edges touch go through rounds again, each
+    as one node, which is its smallest.
+    """
+    if edges.isEmpty():
+        return known
+    at = {end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in ("a", "b")}
+    ends = edges.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    between = components(ends)
+    grown = known.join(between.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return durable(grown.unionByName(between.join(known.select("node"), "node", "left_anti").select("node", "component")))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm._spark import durable
 from folioflow.llm._text import WHITE, Words, as_long, chunks, mix, raw
-from folioflow.llm.components import components
+from folioflow.llm.components import components, extended
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -276,17 +276,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         centers = centers.select(F.col("band").alias("at"), F.col("c.node").alias("a"), F.col("c.component").alias("of"))
         return rows.join(centers, (F.col("band") == F.col("at")) & (F.col("component") != F.col("of"))).select("a", F.col("node").alias("b"))
 
-    def named(links: DataFrame | None) -> DataFrame:
-        """Members with the component that they are in by ``links``."""
-        if links is None:
-            return members.withColumn("component", F.col("node"))
-        return members.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def named(found: DataFrame) -> DataFrame:
+        """Members with the component that they are in."""
+        return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    links = confirm(star(named(None).filter(F.col("band").bitwiseAND(63) < FIRST_BANDS), 0))
-    links = links.unionByName(confirm(star(named(links), 1)))
+    alone = members.withColumn("component", F.col("node"))
+    found = components(confirm(star(alone.filter(F.col("band").bitwiseAND(63) < FIRST_BANDS), 0)))
+    found = extended(found, confirm(star(named(found), 1)))
 
     # Buckets that are still mixed try what is outside their largest component against all.
-    left = named(links)
+    left = named(found)
     parts = left.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
     left = left.join(parts.select("band", F.col("most.component").alias("main"), F.col("most.n").alias("in_main")), "band")
     outside = F.col("component") != F.col("main")
@@ -302,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cells.join(sketch, "node").join(texts, "node").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_within, "a long, b long")
     more = durable(more.distinct())
 
-    labels = components(links.unionByName(more))
+    labels = extended(found, more)
     least = labels.join(reps.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     named_sets = labels.join(least, "component").select("node", "least")
     final = reps.select("k1", "k2", "n_shingles", "node", F.col("doc_id").alias("own")).join(named_sets, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("least", "own").alias("component"))

@@ -5,7 +5,7 @@ from made_up import prose
 from pyspark.sql import functions as F
 
 from folioflow.llm import neardup
-from folioflow.llm.components import components
+from folioflow.llm.components import components, extended
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -136,3 +136,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, 50: 50}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_grow(spark):
+    rng = np.random.default_rng(5)
+    for first, more in ((30, 12), (0, 12)):
+        edges = [tuple(int(x) for x in rng.integers(0, 60, 2)) for _ in range(first + more)]
+        table = [spark.createDataFrame(e, "a long, b long") for e in (edges, edges[:first], edges[first:])]
+        whole, grown = (sorted(map(tuple, t.select("node", "component").collect())) for t in (components(table[0]), extended(components(table[1]), table[2])))
+        assert whole == grown
+
+
+def test_rounds_start_from_components_found(documents, monkeypatch):
+    """The links of a family are walked once, not again after each step that looks for more."""
+    tables, write = [], neardup.durable
+    monkeypatch.setattr("folioflow.llm.components.durable", lambda df: tables.append(df) or write(df))
+    text = " ".join(f"w{i}" for i in range(80))
+    got = run(documents([(i, f"{text} end{i} of{i} it{i}") for i in range(1, 9)]))
+    assert {r[2] for r in got} == {1}
+    assert len(tables) <= 5
